@@ -4,20 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import mixing, secrets
+from tickloom.llm import bpe, langid, media, mixing, secrets, simhash, tokenfile
 from tickloom.llm.common import documents
 
 
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(documents(spark, sf_dir))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.against_next(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(documents(spark, sf_dir))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op2_secrets": op2_secrets, "op5_mixing": op5_mixing}
+    return {
+        "op1_token_planes": op1_token_planes, "op2_secrets": op2_secrets, "op3_media": op3_media, "op4_simhash": op4_simhash, "op5_mixing": op5_mixing,
+        "op6_language": op6_language, "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
