@@ -90,13 +90,19 @@ def entropy_spans(text: Column) -> Column:
     return F.filter(F.transform(cands, one), lambda x: x["s"].isNotNull())
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base and spans: arrays of struct<s, k, e> (start, index in KINDS, end exclusive; code points), in order."""
+def base_of(text: Column) -> Column:
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    t = F.col("text")
     value = lambda x: F.length(F.regexp_extract(x["m"], f"^{ASSIGN}", 2)) >= 12
-    base = F.array_sort(F.concat(bare(F.filter(found(t, ASSIGN, 0), value)), bare(found(t, ACCESS, 1)), bare(found(t, HEX, 2))))
-    got = docs.select("doc_id", "text", base.alias("base"), entropy_spans(t).alias("more"))
+    return F.array_sort(F.concat(bare(F.filter(found(text, ASSIGN, 0), value)), bare(found(text, ACCESS, 1)), bare(found(text, HEX, 2))))
+
+
+def spans_of(text: Column) -> Column:
+    return F.array_sort(F.concat(base_of(text), entropy_spans(text)))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, text, base and spans: arrays of struct<s, k, e> (start, index in KINDS, end exclusive; code points), in order."""
+    got = docs.select("doc_id", "text", base_of(F.col("text")).alias("base"), entropy_spans(F.col("text")).alias("more"))
     return got.select("doc_id", "text", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
@@ -168,3 +174,15 @@ FROM t LEFT JOIN g USING (rid)
 
 
 SQL = _sql()
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents, all columns kept, with secrets in their text replaced by the mark (and n_chars, where there is such a
+    column, counted anew); documents without secrets are unchanged."""
+    spans = spans_of(F.col("text"))
+    got = docs.withColumn("__spans", F.when(F.col("text").isNotNull(), spans))
+    new = F.when(F.size(F.coalesce("__spans", F.expr(f"cast(array() as array<{SPAN}>)"))) > 0, redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    got = got.withColumn("text", new)
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.when(F.size(F.coalesce("__spans", F.expr(f"cast(array() as array<{SPAN}>)"))) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return got.select(*docs.columns)
