@@ -34,16 +34,13 @@ STEP = 0x9E3779B1
 SHARED = 2
 #: Bits of the Bloom filter of documents that share keys; its size is fixed whatever the input.
 BLOOM = 1 << 25
-_SPACES = str.maketrans("\t\n\v\f\r", "     ")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-KEPT_WORDS = 1 << 19
-_words: dict[str, int] = {}
+KEPT_WORDS = 1 << 18
+_words: dict[bytes, int] = {}
 
 
 def shingles(text: str, k: int) -> np.ndarray:
     """The sorted distinct hashes."""
-    words = text.translate(_LOWER).translate(_SPACES).split(" ")
-    words = [w for w in words if w]
+    words = text.encode().lower().split()  # of bytes: A-Z only, and space and 0x09 to 0x0D only
     if not words:
         return np.zeros(0, np.uint64)
     if len(_words) > KEPT_WORDS:

@@ -36,15 +36,14 @@ HEAVY, LONGEST = 200_000, 64
 END, OTHER = 0, 1
 #: Tokens that a worker scores together.
 BUFFER = 4_000_000
-_SPACES = str.maketrans("\t\n\v\f\r", "     ")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in text.translate(_LOWER).translate(_SPACES).split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """In UTF-8. Of bytes, lower() changes A-Z only and split() parts at space and 0x09 to 0x0D only."""
+    return text.encode().lower().split()
 
 
-def word_hash(w: str) -> int:
+def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w) - (1 << 63)
 
 
@@ -238,7 +237,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(c), pa.string()), pa.array(list(map(word_hash, c)), pa.int64()), pa.array(list(c.values()), pa.int64())], ["word", "hash", "c"])
+            return pa.record_batch([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(map(word_hash, c)), pa.int64()), pa.array(list(c.values()), pa.int64())], ["word", "hash", "c"])
 
         held: Counter = Counter()
         for b in rows_of(batches):
@@ -259,7 +258,7 @@ def learn(counts: DataFrame, training: DataFrame, sample_docs: int = 700, sample
     tokens, types = total + n_docs, distinct + (n_docs > 0)
     heavy = counts.filter((F.col("c") >= tokens / HEAVY) & (F.length("word") <= LONGEST)).select("word", "c").toArrow().to_pydict()
     ranked = sorted(zip(heavy["word"], heavy["c"], strict=True), key=lambda x: (-x[1], x[0]))
-    words, c = [w for w, _ in ranked], np.array([n for _, n in ranked], np.int64)
+    words, c = [w.encode() for w, _ in ranked], np.array([n for _, n in ranked], np.int64)
     inside = min(MODEL, len(words))
     rest = int(total - c[:inside].sum())
     sample = training.filter(F.length("text") <= sample_chars).select("text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
