@@ -29,7 +29,7 @@ from tickloom.llm.common import rows_of, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 _loaded: dict[str, Bpe] = {}
 
 
@@ -50,10 +50,12 @@ class Words(dict):
     def ids(self, batch: list[str]) -> Iterator[list[int]]:
         """The ids of each text of the batch."""
         split = [t.replace("\n", " ").split(" ") for t in batch]
-        new = list({w for s in split for w in s} - self.keys()) if len(self) else list({w for s in split for w in s})
-        if len(self) + len(new) > self.most and len(self):
+        seen = {w for s in split for w in s}
+        new = list(seen - self.keys())
+        if len(self) + len(new) > self.most:  # what this batch has stays, and so do the words that every batch has
+            stay = {w: self[w] for w in seen - set(new)}
             self.clear()
-            new = list({w for s in split for w in s})
+            self.update(stay)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             self.update(zip(part, self.encode_new(part), strict=True))
@@ -99,8 +101,10 @@ class Bpe:
                 split.append(parts + self.pieces(c[at:]))
             else:
                 split.append(self.pieces(c))
-        words = list({p for s in split for p in s if isinstance(p, str)})
-        merged = dict(zip(words, self.merge(words), strict=True))
+        words = {p for s in split for p in s if isinstance(p, str)}
+        merged = {p: self.words[p] for p in words & self.words.keys() if p.isalpha() and p.islower()}  # such a piece was a chunk before
+        words = list(words - merged.keys())
+        merged.update(zip(words, self.merge(words), strict=True))
         return [tuple(chain.from_iterable((p,) if isinstance(p, int) else merged[p] for p in s)) for s in split]
 
     def merge(self, words: list[str]) -> list[list[int]]:
