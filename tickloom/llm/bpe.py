@@ -40,17 +40,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _flat(parts: Iterable) -> list[int]:
+    return list(chain.from_iterable(parts))
+
+
 class Words(dict):
-    """chunk -> ids, with what is new in a batch encoded together."""
+    """chunk -> ids, with what is new in a batch encoded together. join puts the ids of a text's chunks together."""
 
-    def __init__(self, encode_new, most: int = KEPT_WORDS):
+    def __init__(self, encode_new, most: int = KEPT_WORDS, join=_flat):
         super().__init__()
-        self.encode_new, self.most = encode_new, most
+        self.encode_new, self.most, self.join = encode_new, most, join
 
     def ids(self, batch: list[str]) -> Iterator[list[int]]:
         """The ids of each text of the batch."""
         split = [t.replace("\n", " ").split(" ") for t in batch]
-        seen = {w for s in split for w in s}
+        seen = set().union(*split)
         new = list(seen - self.keys())
         if len(self) + len(new) > self.most:  # what this batch has stays, and so do the words that every batch has
             stay = {w: self[w] for w in seen - set(new)}
@@ -60,7 +64,7 @@ class Words(dict):
             part = new[i : i + 50_000]
             self.update(zip(part, self.encode_new(part), strict=True))
         for s in split:
-            yield list(chain.from_iterable(map(self.__getitem__, s)))
+            yield self.join(map(self.__getitem__, s))
 
 
 class Bpe:

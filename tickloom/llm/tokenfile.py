@@ -15,8 +15,11 @@ each other in the order of their texts; an empty table gives no file and an empt
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,7 @@ MAGIC = b"TLPLANE1"
 BLOCK, SHARD = 1 << 16, 1 << 22
 VOCABULARY, END = "word_bpe_49k.json", 1
 LEVEL = 1
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]+)?")
 _library: dict[str, Words] = {}
 
 
@@ -90,15 +94,22 @@ class Reader:
 
 
 def library(path: str) -> Words:
-    """The tokenizers library's ids of chunks of text that a space or line feed ends, kept for chunks seen before."""
+    """The tokenizers library's ids (4 bytes each) of chunks of text that a space or line feed ends, kept for chunks seen
+    before. A chunk of Latin letters and final punctuation is two of the pre-tokenizer's words, so the library gets
+    each such word once, in lower case."""
     if path not in _library:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _library[path] = Words(lambda chunks: [tuple(e.ids) for e in t.encode_batch(chunks, add_special_tokens=False)], 400_000)
+
+        def encode(chunks: list[str]) -> list[bytes]:
+            parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c,) for c in chunks]
+            new = list({p for q in parts for p in q if p} - words.keys())
+            words.update(zip(new, (array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            return [b"".join([words[p] for p in q if p]) for q in parts]
+
+        words = _library[path] = Words(encode, 1_500_000, b"".join)
     return _library[path]
 
 
@@ -108,13 +119,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = library(public_tokenizers.path(vocabulary)), TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
-        ids, names, sizes, seq = [], [], [], 0
+        ids, names, sizes, seq, last = [], [], [], 0, end.to_bytes(4, "little")
 
         def flush() -> pa.RecordBatch:
             name = f"{base}/ids-{part:06d}-{seq:06d}.tlp"
             store.create_dir(base, recursive=True)
             with store.open_output_stream(tmp := f"{name}.{uuid.uuid4().hex}") as f:
-                f.write(pack(np.concatenate(ids), names, sizes, bits))
+                f.write(pack(np.frombuffer(b"".join(ids), "<u4"), names, sizes, bits))
             store.move(tmp, name)
             n = sum(sizes)
             return pa.record_batch([pa.array([f"{folder}/ids-{part:06d}-{seq:06d}.tlp"]), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([n], pa.int64())], ["uri", "part", "seq", "n_docs", "n_ids"])
@@ -122,11 +133,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
         held = 0
         for b in rows_of(batches):
             for i, x in zip(b["doc_id"].to_pylist(), words.ids(b["text"].to_pylist()), strict=True):
-                x.append(end)
-                ids.append(np.array(x, "<u4"))
+                ids.append(x + last)
                 names.append(i)
-                sizes.append(len(x))
-                held += len(x)
+                sizes.append(len(x) // 4 + 1)
+                held += sizes[-1]
                 if held >= SHARD:
                     yield flush()
                     ids, names, sizes, seq, held = [], [], [], seq + 1, 0
