@@ -276,6 +276,23 @@ def test_base_scores_by_brute_force(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_the_network_learns_from_all_documents_and_from_long_ones(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    noise = lambda n: " ".join(rng.choice(words, n))
+    ids = sorted(range(1400), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    many = [(i, noise(40) if k < 700 else " ".join(words + words[:10])) for k, i in enumerate(ids)]
+    long = [(i, " ".join(words * 300)) for i in range(16)]
+    assert min(len(t) for _, t in long) > 20_000
+    for rows in (many, long):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+        got = rnnlm.score(spark.createDataFrame([(0, " ".join(words * 4))], "doc_id long, text string"), df).first()
+        assert got.score > 0.5 * got.base_score
+    net = rnnlm.Gru(32, np.ones(32))
+    tokens = rnnlm.encoded(df, [w.encode() for w in words])
+    assert rnnlm.trained(net, tokens)[0] >= sum(len(t.split()) + 1 for _, t in long)
+
+
 def components_by_brute_force(rows, k, percent):
     sets = {}
     for i, t in rows:

@@ -2,10 +2,10 @@
 
 Counts of all words of the training documents come from the whole corpus. The `MODEL` most frequent words, one token
 for all other words and one for a document's end are the network's tokens. It is trained by truncated backpropagation
-(windows of STEPS tokens, LANES side by side, the state carried over, reset where a document begins) on a bounded
-sample (`sample_docs` training documents of at most `sample_chars` characters, in hash order; all other statistics are
-over all documents). The output is factored: P(class) P(token | class). A word outside the network's tokens has
-P(other) times its add-half share of the training counts of such words.
+(windows of STEPS tokens, LANES side by side, the state carried over, reset where a document begins) on all training
+documents, whole: in each of EPOCHS rounds every partition trains from the same weights over all its documents, and the
+weights' means, by tokens, start the next round. The output is factored: P(class) P(token | class). A word outside the
+network's tokens has P(other) times its add-half share of the training counts of such words.
 
 Scoring runs over whole documents, all of a buffer in step, with the state carried from window to window. Words with at
 least 1 / HEAVY of all training tokens (so HEAVY at most, of at most 64 characters) are known to every worker; the
@@ -17,9 +17,10 @@ repeated rows give repeated results; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import pickle
+import copy
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ from tickloom.llm.common import cut, rows_of, texts
 
 MODEL, CLASS = 2014, 45
 HIDDEN, STEPS, LANES = 32, 24, 32
+EPOCHS, RATE = 3, 0.01
 HEAVY, LONGEST = 200_000, 64
 END, OTHER = 0, 1
-#: Tokens that a worker scores together.
+#: Tokens that a worker scores together, or lays out together for training.
 BUFFER = 4_000_000
 
 
@@ -158,78 +160,128 @@ class Gru:
                 total[:live] += got[at : at + live]
                 at += live
 
-    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients over one window of (steps, lanes), the state after it, and the loss a token."""
+    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, grad: dict | None = None) -> tuple[dict, np.ndarray, float]:
+        """Gradients over one window of (steps, lanes), the state after it, and the loss a token. grad: zeros to add them to."""
         p, k, n = self.p, HIDDEN, x.size
-        table, kept = self.inputs(), []
+        grad = {name: np.zeros_like(v) for name, v in p.items()} if grad is None else grad
+        at, kept = x.ravel(), []
+        e = p["e"][at]
+        x3 = (e @ p["wx"] + p["b"]).reshape(*x.shape, 3 * k)
+        live = (~fresh)[:, :, None]
         for t in range(len(x)):
-            h0 = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-            h, z, r, g, hn = self.step(table[x[t]], h0)
+            h0 = h * live[t]
+            h, z, r, g, hn = self.step(x3[t], h0)
             kept.append((h0, z, r, g, hn, h))
-        hs, target = np.concatenate([s[5] for s in kept]), y.ravel()
-        grad = {name: np.zeros_like(v) for name, v in p.items()}
+        h0s, zs, rs, gs, hns, hs = (np.stack([s[i] for s in kept]) for i in range(6))
+        # rows in the order of their classes, so that each class is one stretch
+        order = np.argsort((y.ravel() // CLASS).astype(np.int16), kind="stable")
+        target, flat, every = y.ravel()[order], hs.reshape(n, k)[order], np.arange(n)
         cls, within = np.divmod(target, CLASS)
-        a = hs @ p["wc"] + p["bc"]
+        a = flat @ p["wc"] + p["bc"]
         a = np.exp(a - a.max(axis=1, keepdims=True))
         a /= a.sum(axis=1, keepdims=True)
-        loss = -np.log(a[np.arange(n), cls] + 1e-30)
-        a[np.arange(n), cls] -= 1
+        loss = -np.log(a[every, cls] + 1e-30)
+        a[every, cls] -= 1
         a /= n
-        grad["wc"], grad["bc"], dh = hs.T @ a, a.sum(axis=0), a @ p["wc"].T
-        for c in np.unique(cls):
-            at = np.flatnonzero(cls == c)
-            b = hs[at] @ p["wo"][c] + p["bo"][c]
-            b = np.exp(b - b.max(axis=1, keepdims=True))
-            b /= b.sum(axis=1, keepdims=True)
-            loss[at] -= np.log(b[np.arange(len(at)), within[at]] + 1e-30)
-            b[np.arange(len(at)), within[at]] -= 1
-            b /= n
-            grad["wo"][c], grad["bo"][c] = hs[at].T @ b, b.sum(axis=0)
-            dh[at] += b @ p["wo"][c].T
-        dh, back, dx = dh.reshape(*x.shape, k), np.zeros_like(h), np.zeros((*x.shape, 3 * k), np.float32)
+        grad["wc"] += flat.T @ a
+        grad["bc"] += a.sum(axis=0)
+        dh = a @ p["wc"].T
+        there, edge = np.unique(cls, return_index=True)
+        spans = list(zip(there.tolist(), edge.tolist(), [*edge[1:].tolist(), n], strict=True))
+        b = p["bo"][cls]
+        for c, i, j in spans:
+            b[i:j] += flat[i:j] @ p["wo"][c]
+        b -= b.max(axis=1, keepdims=True)
+        np.exp(b, out=b)
+        b /= b.sum(axis=1, keepdims=True)
+        loss -= np.log(b[every, within] + 1e-30)
+        b[every, within] -= 1
+        b /= n
+        grad["bo"][there] += np.add.reduceat(b, edge, axis=0)
+        for c, i, j in spans:
+            grad["wo"][c] += flat[i:j].T @ b[i:j]
+            dh[i:j] += b[i:j] @ p["wo"][c].T
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh = back.reshape(*x.shape, k)
+        # what does not depend on the later steps' gradient, for all steps at once
+        to_g, to_z, to_r = zs * (1 - gs * gs), (gs - h0s) * zs * (1 - zs), hns * rs * (1 - rs)
+        stay, wh = 1 - zs, np.ascontiguousarray(p["wh"].T)
+        back, dx, dhw = np.zeros_like(h), np.empty((*x.shape, 3 * k), dh.dtype), np.empty((*x.shape, 3 * k), dh.dtype)
         for t in reversed(range(len(x))):
-            h0, z, r, g, hn, _ = kept[t]
-            d = dh[t] + back
-            dg = d * z * (1 - g * g)
-            dz = d * (g - h0) * z * (1 - z)
-            dr = dg * hn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dg], axis=1)
-            dhw = np.concatenate([dz, dr, dg * r], axis=1)
-            grad["wh"] += h0.T @ dhw
-            back = d * (1 - z) + dhw @ p["wh"].T
-            back[fresh[t]] = 0
-        flat, e = dx.reshape(-1, 3 * k), p["e"][x.ravel()]
-        grad["wx"], grad["b"] = e.T @ flat, flat.sum(axis=0)
-        np.add.at(grad["e"], x.ravel(), flat @ p["wx"].T)
+            d, u, v = dh[t] + back, dx[t], dhw[t]
+            dg = d * to_g[t]
+            u[:, :k] = d * to_z[t]
+            u[:, k : 2 * k] = dg * to_r[t]
+            u[:, 2 * k :] = dg
+            v[:, : 2 * k] = u[:, : 2 * k]
+            v[:, 2 * k :] = dg * rs[t]
+            back = (d * stay[t] + v @ wh) * live[t]
+        grad["wh"] += h0s.reshape(n, k).T @ dhw.reshape(n, 3 * k)
+        flat, order = dx.reshape(n, 3 * k), np.argsort(at, kind="stable")
+        grad["wx"] += e.T @ flat
+        grad["b"] += flat.sum(axis=0)
+        there, edge = np.unique(at[order], return_index=True)
+        grad["e"][there] += np.add.reduceat((flat @ p["wx"].T)[order], edge, axis=0)
         return grad, h, float(loss.mean())
 
-    def train(self, docs: list[np.ndarray], epochs: int = 3, rate: float = 0.01) -> list[float]:
-        """Adam over windows; returns each epoch's loss a token."""
-        if not docs:
-            return []
-        seq, prev, first = np.concatenate(docs), np.concatenate([np.concatenate([[END], d[:-1]]) for d in docs]), np.zeros(sum(map(len, docs)), bool)
-        first[np.cumsum([0, *map(len, docs[:-1])])] = True
-        lanes = max(1, min(LANES, len(seq) // STEPS))
-        n = len(seq) // lanes
-        y, x, fresh = (v[: n * lanes].reshape(lanes, n).T for v in (seq, prev, first))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        out, step, total = [], 0, epochs * -(-n // STEPS)
-        for _ in range(epochs):
-            h, losses = np.zeros((lanes, HIDDEN), np.float32), []
-            for i in range(0, n, STEPS):
-                grad, h, loss = self.window(x[i : i + STEPS], y[i : i + STEPS], fresh[i : i + STEPS], h)
-                losses.append(loss)
-                step += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                lr = rate * (1 - 0.9 * step / total)
-                for k, g in grad.items():
-                    g = g * min(1.0, 1.0 / (norm + 1e-9))
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            out.append(float(np.mean(losses)))
-        return out
+    def train(self, docs: Iterable[np.ndarray], rate: float = RATE) -> tuple[int, float]:
+        """Adam over windows, once over all documents (token arrays, END last); returns the tokens and the loss a token."""
+        names, sizes = list(self.p), [v.size for v in self.p.values()]
+        flat = np.concatenate([v.ravel() for v in self.p.values()])
+        cuts = np.cumsum(sizes)[:-1]
+        views = lambda a: {k: v.reshape(self.p[k].shape) for k, v in zip(names, np.split(a, cuts), strict=True)}
+        g, m, s, work = (np.zeros_like(flat) for _ in range(4))
+        self.p, grad = views(flat), views(g)
+        step, tokens, lost = 0, 0, 0.0
+        for x, y, fresh in _lanes(docs):
+            h = np.zeros((x.shape[1], HIDDEN), np.float32)
+            for i in range(0, len(x), STEPS):
+                g[:] = 0
+                _, h, loss = self.window(x[i : i + STEPS], y[i : i + STEPS], fresh[i : i + STEPS], h, grad)
+                n = x[i : i + STEPS].size
+                step, tokens, lost = step + 1, tokens + n, lost + loss * n
+                g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+                # m += 0.1 (g - m); s += 0.01 (g g - s); then the step itself
+                np.multiply(g, g, out=work)
+                m *= 0.9
+                g *= 0.1
+                m += g
+                s *= 0.99
+                work *= 0.01
+                s += work
+                np.multiply(s, 1 / (1 - 0.99**step), out=work)
+                np.sqrt(work, out=work)
+                work += 1e-6
+                np.divide(m, work, out=work)
+                work *= rate / (1 - 0.9**step)
+                flat -= work
+        return tokens, lost / max(tokens, 1)
+
+
+def _lanes(docs: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, the ones before them and where documents begin, side by side: (steps, lanes) for about BUFFER tokens at a
+    time. The last lane is filled up with the block's first tokens, so none is left out."""
+
+    def out(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y = np.concatenate(held)
+        first = np.zeros(len(y), bool)
+        first[np.cumsum([0, *map(len, held[:-1])])] = True
+        x = np.concatenate([[END], y[:-1]])
+        lanes = max(1, min(LANES, len(y) // STEPS))
+        n = -(-len(y) // lanes)
+        y, x, fresh = (np.ascontiguousarray(np.resize(v, n * lanes).reshape(lanes, n).T) for v in (y, x, first))
+        return x.astype(np.int32), y.astype(np.int32), fresh
+
+    held, size = [], 0
+    for d in docs:
+        held.append(d)
+        size += len(d)
+        if size >= BUFFER:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -251,7 +303,63 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, hash long, c long").groupBy("word", "hash").agg(F.sum("c").alias("c"))
 
 
-def learn(counts: DataFrame, training: DataFrame, sample_docs: int = 700, sample_chars: int = 20_000) -> dict:
+def encoded(training: DataFrame, words: list[bytes]) -> DataFrame:
+    """tokens of every row: the network's, as 16-bit integers, END last; written once for all rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i + 2 for i, w in enumerate(words)}
+        for b in rows_of(batches):
+            yield pa.record_batch([pa.array([np.array([*(at.get(w, OTHER) for w in words_of(t)), END], "<i2").tobytes() for t in b["text"].to_pylist()], pa.binary())], ["tokens"])
+
+    return cut(training.select("text").mapInArrow(run, "tokens binary"), "tokens")
+
+
+def trained(gru: Gru, tokens: DataFrame) -> list[int]:
+    """Train gru in place on all rows of tokens, in EPOCHS rounds; returns each round's count of tokens."""
+    spark, seen = tokens.sparkSession, []
+    groups = math.isqrt(max(1, tokens.rdd.getNumPartitions())) + 1
+    shapes = {k: v.shape for k, v in gru.p.items()}
+    schema = "part long, n long, weights binary"
+
+    def sums(rows: list) -> tuple[int, np.ndarray]:
+        """Tokens and weights * tokens, added up in the order of their parts."""
+        total, n = 0.0, 0
+        for _, k, w in sorted(rows, key=lambda r: r[:2]):
+            total, n = total + np.frombuffer(w, np.float64), n + k
+        return n, total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := [tuple(r.values()) for b in batches for r in b.to_pylist()]:
+            n, total = sums(rows)
+            yield pa.record_batch([pa.array([min(r[0] for r in rows)], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n", "weights"])
+
+    for e in range(EPOCHS):
+        given = spark.sparkContext.broadcast(gru)
+        rate = RATE * (1 - 0.9 * e / EPOCHS)
+
+        def fit(batches: Iterator[pa.RecordBatch], given=given, rate=rate) -> Iterator[pa.RecordBatch]:
+            own = copy.deepcopy(given.value)
+            n, _ = own.train((np.frombuffer(t, "<i2") for b in batches for t in b["tokens"].to_pylist()), rate)
+            if n:
+                w = np.concatenate([v.ravel() for v in own.p.values()]).astype(np.float64) * n
+                yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["part", "n", "weights"])
+
+        # means of about sqrt(partitions) partitions each, so that few weights reach the driver
+        got = tokens.mapInArrow(fit, schema).repartition(groups).mapInArrow(add, schema).collect()
+        given.destroy()
+        if not got:
+            break
+        n, total = sums([tuple(r) for r in got])
+        flat, at = (total / n).astype(np.float32), 0
+        for k, shape in shapes.items():
+            size = math.prod(shape)
+            gru.p[k] = flat[at : at + size].reshape(shape)
+            at += size
+        seen.append(n)
+    return seen
+
+
+def learn(counts: DataFrame, training: DataFrame) -> dict:
     """What workers need: heavy words with log10(c + 0.5), the network, and the corpus's sums."""
     n_docs = training.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -261,21 +369,8 @@ def learn(counts: DataFrame, training: DataFrame, sample_docs: int = 700, sample
     words, c = [w.encode() for w, _ in ranked], np.array([n for _, n in ranked], np.int64)
     inside = min(MODEL, len(words))
     rest = int(total - c[:inside].sum())
-    sample = training.filter(F.length("text") <= sample_chars).select("text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
-    at = {w: i + 2 for i, w in enumerate(words[:inside])}
-    first = np.concatenate([[n_docs, rest], c[:inside]])
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((h, t) for b in batches for h, t in zip(b["h"].to_pylist(), b["text"].to_pylist(), strict=True))
-        gru = Gru(inside + 2, first)
-        gru.train([np.array([at.get(w, OTHER) for w in words_of(t)] + [END], np.int64) for _, t in rows])
-        yield pa.record_batch([pa.array([pickle.dumps(gru.p)], pa.binary())], ["weights"])
-
-    # one task, over at most sample_docs documents
-    fitted = sample.orderBy("h", "text").limit(sample_docs).coalesce(1).mapInArrow(fit, "weights binary").collect()
-    gru = Gru(inside + 2, first)
-    if fitted:
-        gru.p = pickle.loads(fitted[0]["weights"])
+    gru = Gru(inside + 2, np.concatenate([[n_docs, rest], c[:inside]]))
+    trained(gru, encoded(training, words[:inside]))
     other = np.log10(rest + 0.5 * (distinct - inside + 1))
     return {"words": words, "log_c": np.log10(c + 0.5), "inside": inside, "gru": gru, "tokens": int(tokens), "types": int(types), "ends": int(n_docs), "other": float(other)}
 
