@@ -276,6 +276,22 @@ def test_base_scores_by_brute_force(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_automata_know_all_letters_of_their_languages():
+    rng = np.random.default_rng(9)
+    han = [chr(0x4E00 + i) for i in range(1500)]
+    terms = ["".join(rng.choice(han, 3)) for _ in range(800)]
+    zh = lambda n: "".join(rng.choice(terms, n))
+    m = langid.build({"zh": zh(6000), "en": prose(rng, 3000), "ru": "мы не знаем что это было и как они жили " * 50})
+    lang, _, bits = langid.parse(m, [zh(100), prose(rng, 200), "они не знаем как это было", zh(2)])
+    assert lang == ["zh", "en", "ru", "zh"] and bits[0] < 8
+
+    # the rare letters' transitions are those of one dense table over all letters
+    code = langid.plain(zh(3000)).astype(np.int64) - 0x4E00
+    q, nxt = langid.plain(zh(50)).astype(np.int64) - 0x4E00, langid.states(code)
+    at, n = np.array([0]), np.array([len(q)])
+    assert langid.phrases(langid.dense(nxt, 1501), 1501, q, at, n)[0] == langid.phrases(langid.dense(nxt, 40), 40, q, at, n, langid.sparse(nxt, 40))[0]
+
+
 def test_the_network_learns_from_all_documents_and_from_long_ones(spark):
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(30)]

@@ -5,7 +5,8 @@ text. A text is parsed greedily into such phrases; a language's cost is phrases
 character, and the language with the least cost wins (ties: the smaller code point).
 
 The labelled text is a bounded sample (`sample_docs` whole documents and about `sample_chars` characters a language);
-the prediction reads whole texts. Automata are dense tables, and many stretches of STRETCH characters are parsed in
+the prediction reads whole texts. An automaton knows all letters of its own labelled text: transitions by its LETTERS
+most frequent ones are a dense table, those by the rest sorted keys. Many stretches of STRETCH characters are parsed in
 step, so Python runs once a column of characters and not once a character; no phrase goes over a stretch's end.
 
 Defined cases: null texts, and texts without a letter, are `und` with score 0; without labelled text every text is
@@ -15,7 +16,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ from tickloom.llm.common import rows_of
 
 UNKNOWN = "und"
 STRETCH = 512
-#: Letters that an automaton tells apart; all others end a phrase. Class 0 is the space between words.
+#: Letters of a language whose transitions are a dense table. Code 0 is the space between words.
 LETTERS = 62
 _folded: np.ndarray | None = None
 _built: dict[int, tuple] = {}
@@ -51,8 +51,8 @@ def plain(text: str) -> np.ndarray:
     return x[:-1] if len(x) and x[-1] == 0 else x
 
 
-def automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of codes (each under width), flat: row 1 is the start, 0 says no match."""
+def states(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of codes; state 1 is the start, 0 says no match."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, size, last = [0, 0], [0, 0], 1
     for c in codes.tolist():
@@ -78,45 +78,84 @@ def automaton(codes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
+    return nxt
+
+
+def automaton(codes: np.ndarray, width: int) -> np.ndarray:
+    """The suffix automaton's transitions by codes under width, flat: row 1 is the start, 0 says no match."""
+    return dense(states(codes), width)
+
+
+def dense(nxt: list[dict[int, int]], width: int) -> np.ndarray:
     table = np.zeros(len(nxt) * width, np.int32)
     for s, row in enumerate(nxt):
         for c, to in row.items():
-            table[s * width + c] = to
+            if c < width:
+                table[s * width + c] = to
     return table
 
 
+def sparse(nxt: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions by the other codes: sorted keys (state << 32 | code), and where they lead."""
+    found = sorted((s << 32 | c, to) for s, row in enumerate(nxt) for c, to in row.items() if c >= width)
+    return np.array([k for k, _ in found], np.int64), np.array([to for _, to in found], np.int32)
+
+
+def _both(codes: np.ndarray, width: int) -> tuple:
+    """dense(), width and sparse(); the states themselves go before the next language's are made."""
+    nxt = states(codes)
+    return dense(nxt, width), width, sparse(nxt, width)
+
+
 def build(samples: dict[str, str]) -> tuple:
-    """(languages, letter table, width, [(transitions, bits a phrase)])."""
+    """(languages, class of each code point, [(transitions, width, rare transitions, code of each class, bits a phrase)]).
+
+    Classes are 0, the letters of any sample, and one for all other letters. A language's codes are 0, its most frequent
+    letters, width - 1 for letters that it does not have, and its rarer letters from width on.
+    """
     parts = {k: plain(v) for k, v in sorted(samples.items())}
     parts = {k: v for k, v in parts.items() if len(v)}
-    count = Counter()
-    for v in parts.values():
-        letters, n = np.unique(v[v > 0], return_counts=True)
-        count.update(dict(zip(letters.tolist(), (n / len(v)).tolist(), strict=True)))
-    known = sorted(count, key=lambda c: (-count[c], c))[:LETTERS]
-    width = len(known) + 2
-    classes = np.full(0x110000, width - 1, np.uint8)
-    classes[0] = 0
-    classes[np.array(known, np.int64)] = np.arange(1, len(known) + 1)
+    known = np.unique(np.concatenate([np.zeros(1, np.uint32), *parts.values()]))
+    classes = np.full(0x110000, len(known), np.min_scalar_type(len(known)))
+    classes[known] = np.arange(len(known))
     tables = []
     for v in parts.values():
-        codes = classes[v]
-        tables.append((automaton(codes[codes < width - 1], width), float(np.log2(len(v) + 1))))
-    return list(parts), classes, width, tables
-
-
-def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Phrases of each stretch codes[start : start + length]; the stretches come longest first."""
+        own = classes[v]
+        count = np.bincount(own, minlength=len(known) + 1)
+        count[0] = 0
+        letters = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        width = min(len(letters), LETTERS) + 2
+        code = np.full(len(known) + 1, width - 1, np.int32)
+        code[0] = 0
+        code[letters] = np.arange(1, len(letters) + 1) + (np.arange(len(letters)) >= LETTERS)
+        tables.append((*_both(code[own], width), code, float(np.log2(len(v) + 1))))
+    return list(parts), classes, tables
+
+
+def _next(table: np.ndarray, width: int, rare: tuple | None, state: np.ndarray | int, c: np.ndarray) -> np.ndarray:
+    if rare is None:
+        return table[state * width + c]
+    to = table[state * width + np.minimum(c, width - 1)]
+    if len(at := np.flatnonzero(c >= width)):
+        keys = (np.broadcast_to(state, len(c))[at].astype(np.int64) << 32) | c[at]
+        place = np.minimum(np.searchsorted(rare[0], keys), len(rare[0]) - 1)
+        to[at] = np.where(rare[0][place] == keys, rare[1][place], 0)
+    return to
+
+
+def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray, length: np.ndarray, rare: tuple | None = None) -> np.ndarray:
+    """Phrases of each stretch codes[start : start + length]; the stretches come longest first. rare: as of sparse()."""
     state, count = np.ones(len(start), np.int32), np.ones(len(start), np.int64)
     live = len(start)
+    rare = rare if rare is not None and len(rare[0]) else None
     for j in range(int(length[0]) if len(length) else 0):
         while live and length[live - 1] <= j:
             live -= 1
         c = codes[start[:live] + j]
-        to = table[state[:live] * width + c]
+        to = _next(table, width, rare, state[:live], c)
         if len(broken := np.flatnonzero(to == 0)):
             count[broken] += 1
-            again = table[width + c[broken]]
+            again = _next(table, width, rare, 1, c[broken])
             to[broken] = np.where(again == 0, 1, again)
         state[:live] = to
     return count
@@ -124,12 +163,12 @@ def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray,
 
 def parse(model: tuple, batch: list[str | None]) -> tuple[list[str], list[float], list[float]]:
     """Language, score and bits a character (of the winner; 0 without letters) of each text."""
-    names, classes, width, tables = model
+    names, classes, tables = model
     parts = [plain(t) if t else np.zeros(0, np.uint32) for t in batch]
     n = np.array([len(p) for p in parts], np.int64)
     if not names or not n.any():
         return [UNKNOWN] * len(batch), [0.0] * len(batch), [0.0] * len(batch)
-    codes = classes[np.concatenate(parts)].astype(np.int32)
+    seen = classes[np.concatenate(parts)]
     pieces = -(-n // STRETCH)
     doc = np.repeat(np.arange(len(batch)), pieces)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -137,7 +176,7 @@ def parse(model: tuple, batch: list[str | None]) -> tuple[list[str], list[float]
     length = np.minimum(STRETCH, n[doc] - k * STRETCH)
     order = np.argsort(-length, kind="stable")
     doc, start, length = doc[order], start[order], length[order]
-    cost = np.stack([np.bincount(doc, phrases(t, width, codes, start, length), len(batch)) * bits / np.maximum(n, 1) for t, bits in tables])
+    cost = np.stack([np.bincount(doc, phrases(t, width, code[seen], start, length, rare), len(batch)) * bits / np.maximum(n, 1) for t, width, rare, code, bits in tables])
     best = cost.argmin(axis=0)
     least = cost[best, np.arange(len(batch))]
     with np.errstate(divide="ignore", invalid="ignore"):
