@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import cli
+from tickloom.functions.series import indexed
 from tickloom.model import DAY, MINUTE, Invalid, ScanRequest
+from tickloom.operators import cross, hygiene, kernels
 from tickloom.plans import engine
 from tickloom.plans.registry import SCANS
 from tickloom.sources import dayfiles
@@ -123,6 +125,32 @@ def test_strict_policy_and_preflight(minutes):
         assert e.value.code == code
 
 
+@pytest.mark.parametrize("name", ["cross.corr.pearson_rolling@1", "cross.corr.spearman_rolling@1", "cross.ols.rolling@1", "cross.lead_lag.ccf@1", "cross.cointegration.engle_granger@1"])
+def test_pairs_are_resampled(minutes, name):
+    scan = SCANS[name]
+    r = ScanRequest(name, ("EURUSD:bid", "GBPUSD:bid"), "15m", (TUE, THU), params=PARAMS.get(scan.id, {}), bootstrap="stationary", bootstrap_n=20, null="circular_shift", null_n=19)
+    got = engine.run(minutes, r).collect()
+    assert got and all(x.ci_low <= x.ci_high and 0 < x.p_value <= 1 for x in got)
+    _, params, who = engine.preflight(r)
+    data, _, keys = engine.prepared(minutes, r, who, True)
+    cols, stat, _ = hygiene.statistic(scan.id, params)
+    s = (cross.pair_returns if cols == ("ra", "rb") else indexed)(data, [*keys, "segment"]).orderBy("i").toPandas()
+    for x in got:
+        own = s[s.segment == x.segment]
+        assert stat(*(own[c].to_numpy(float) for c in cols)) == pytest.approx(x.value, abs=1e-6)
+
+
+def test_statistics_follow_the_parameters():
+    x = np.cumsum(np.random.default_rng(3).normal(0, 1, 200)) + 500
+    r = np.diff(np.log(x))
+    of = lambda scan, given: hygiene.statistic(scan, SCANS[f"{scan}@1"].resolve(given))[1]
+    assert of("stats.variance_ratio.lo_mackinlay", {"k_values": [2, 4]})(r) == pytest.approx(hygiene._vr(r, 4))
+    assert of("stats.stationarity.adf", {"regression": "ct"})(x) == kernels.adf(x, None, "ct", "AIC")[0]["tau"]
+    assert of("stats.heteroskedasticity.arch_lm", {"lag": 3})(r) == kernels.arch_lm(r, 3)[0]["lm"]
+    assert of("stats.stationarity.kpss", {"nlags": 1})(x) != of("stats.stationarity.kpss", {})(x) != of("stats.stationarity.kpss", {"regression": "ct"})(x)
+    assert of("stats.vol.rolling", {"window": 10})(r) == pytest.approx(r[-10:].std(ddof=1))
+
+
 MANIFEST = """
 [sweep]
 seed = 7

@@ -95,9 +95,9 @@ def surrogate(rng: np.random.Generator, x: np.ndarray, method: str) -> np.ndarra
     raise ValueError(f"unknown null {method!r}")
 
 
-def _ljung_box(x: np.ndarray) -> float:
+def _ljung_box(x: np.ndarray, most: int = 10) -> float:
     n, c = len(x), x - x.mean()
-    s, most = float((c * c).sum()), max(1, min(10, n // 5))
+    s, most = float((c * c).sum()), max(1, min(most, n // 5))
     return n * (n + 2) * sum((float((c[k:] * c[:-k]).sum()) / s) ** 2 / (n - k) for k in range(1, most + 1)) if s else 0.0
 
 
@@ -115,9 +115,12 @@ def _jarque_bera(x: np.ndarray) -> float:
     return len(x) / 6 * (a * a + b * b / 4)
 
 
-def _kpss(x: np.ndarray) -> float:
+def _kpss(x: np.ndarray, regression: str = "c", nlags: int | str = "auto") -> float:
     n, e = len(x), x - x.mean()
-    l = math.floor(4 * (n / 100) ** 0.25)  # noqa: E741
+    if regression == "ct":
+        t = np.arange(n) - (n - 1) / 2
+        e = e - t * float(t @ e) / float(t @ t)
+    l = math.floor(4 * (n / 100) ** 0.25) if nlags == "auto" else min(int(nlags), n - 1)  # noqa: E741
     lrv = float((e * e).sum()) / n + 2 * sum((1 - j / (l + 1)) * float((e[j:] * e[:-j]).sum()) / n for j in range(1, l + 1))
     return float((np.cumsum(e) ** 2).sum()) / (n * n * lrv) if lrv > 0 else math.nan
 
@@ -146,6 +149,62 @@ STATISTICS: dict[str, tuple[str, Callable, int]] = {
 }
 
 
+def statistic(scan_id: str, params: dict) -> tuple[tuple[str, ...], Callable, int] | None:
+    """(input columns, statistic, tail) of a scan with its resolved parameters; None if it has no statistic. The inputs
+    of two legs are ra, rb (log returns) or a, b (closes)."""
+    p = params
+    if scan_id.startswith("cross."):
+        made = _of_pair(scan_id, p)
+        return (*made, 0) if made else None
+    if scan_id not in STATISTICS:
+        return None
+    of, stat, tail = STATISTICS[scan_id]
+    own = {
+        "stats.vol.rolling": lambda x: float(x[-p["window"] :].std(ddof=1)) if len(x) >= p["window"] else math.nan,
+        "stats.autocorr.ljung_box": lambda x: _ljung_box(x, p.get("most", 10)),
+        "stats.autocorr.ljung_box_sq": lambda x: _ljung_box(x * x, p.get("most", 10)),
+        "stats.stationarity.adf": lambda x: _first(kernels.adf(x, p.get("max_lag"), p.get("regression", "c"), p.get("autolag", "AIC")), "tau"),
+        "stats.stationarity.kpss": lambda x: _kpss(x, p.get("regression", "c"), p.get("nlags", "auto")),
+        "stats.variance_ratio.lo_mackinlay": lambda x: _vr(x, max(p.get("k_values", (16,)))),
+        "stats.heteroskedasticity.arch_lm": lambda x: _first(kernels.arch_lm(x, p.get("lag", 5)), "lm"),
+    }
+    return (p.get("of") or of,), own.get(scan_id, stat), tail
+
+
+def _slope(y: np.ndarray, x: np.ndarray) -> float:
+    c = x - x.mean()
+    return float(c @ y) / s if (s := float(c @ c)) else math.nan
+
+
+def _pearson(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a - a.mean(), b - b.mean()
+    return float(a @ b) / s if (s := math.sqrt(float(a @ a) * float(b @ b))) else math.nan
+
+
+def _best_lag(a: np.ndarray, b: np.ndarray, most: int) -> float:
+    """The lag of the largest |ccf|; ties: the smallest."""
+    a, b = a - a.mean(), b - b.mean()
+    if len(a) < 4 or len(a) <= 2 * most or not a.any() or not b.any():
+        return math.nan
+    ccf = [float((a[: len(a) - k] * b[k:] if k >= 0 else a[-k:] * b[:k]).mean()) for k in range(-most, most + 1)]
+    return float(np.argmax(np.abs(ccf)) - most)
+
+
+def _of_pair(scan_id: str, p: dict) -> tuple[tuple[str, ...], Callable] | None:
+    def last(stat: Callable) -> Callable:
+        return lambda a, b: stat(a[-p["window"] :], b[-p["window"] :]) if len(a) >= p["window"] else math.nan
+
+    ranks = lambda x: pd.Series(x).rank().to_numpy()
+    returns = ("ra", "rb")
+    return {
+        "cross.corr.pearson_rolling": lambda: (returns, last(_pearson)),
+        "cross.corr.spearman_rolling": lambda: (returns, last(lambda a, b: _pearson(ranks(a), ranks(b)))),
+        "cross.ols.rolling": lambda: (returns, last(_slope)),
+        "cross.lead_lag.ccf": lambda: (returns, lambda a, b: _best_lag(a, b, p.get("max_lag", 20))),
+        "cross.cointegration.engle_granger": lambda: (("a", "b"), lambda a, b: _slope(a, b) if len(a) >= p.get("least", 30) else math.nan),
+    }.get(scan_id, lambda: None)()
+
+
 def _stream(seed: int, *parts) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(repr((seed, *parts)).encode()).digest()[:16], "little"))
 
@@ -230,4 +289,4 @@ def cliffs_delta(df: DataFrame, keys: list[str], side: str = "side", x: str = "x
     return s.select(*keys, F.try_divide(2 * F.col("more") + F.col("ties") - pairs, pairs).alias("delta"))
 
 
-__all__ = ["STATISTICS", "auto_block", "bootstrap_ci", "cliffs_delta", "cohens_d", "dist", "fdr", "family_of", "hedges_g", "null_p", "phase_scramble", "surrogate"]
+__all__ = ["STATISTICS", "auto_block", "bootstrap_ci", "cliffs_delta", "cohens_d", "dist", "fdr", "family_of", "hedges_g", "null_p", "phase_scramble", "statistic", "surrogate"]

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import series
+from tickloom.functions.series import indexed, series
 from tickloom.model import GAP_POLICIES, Invalid, ScanRequest, check_aligned, instrument, param_hash, step_of, window
 from tickloom.operators import bars as bar_ops
 from tickloom.operators import cross, gaps, hygiene
@@ -39,7 +39,7 @@ def preflight(r: ScanRequest) -> tuple[Scan, dict, list[tuple[str, str]]]:
 
 
 def hygiene_kind(kind: str, scan: Scan) -> str | None:
-    return kind if kind in scan.hygiene and scan.id in hygiene.STATISTICS else None
+    return kind if kind in scan.hygiene and (scan.arity == 2 or scan.id in hygiene.STATISTICS) else None
 
 
 def _of(minute_bars: DataFrame, who: list[tuple[str, str]]) -> DataFrame:
@@ -95,13 +95,16 @@ def run(minute_bars: DataFrame, r: ScanRequest) -> DataFrame:
     p = F.col(scan.p) if scan.p else F.lit(None).cast("double")
     low = high = F.lit(None).cast("double")
     if r.bootstrap or r.null:
-        of, stat, tail = hygiene.STATISTICS[scan.id]
-        s = series(data, keys, of)
+        cols, stat, tail = hygiene.statistic(scan.id, given)
+        if scan.arity == 1:
+            s, cols = series(data, keys, *cols), ("x",)
+        else:
+            s = cross.pair_returns(data, keys) if cols == ("ra", "rb") else indexed(data, keys)
         if r.bootstrap:
-            ci = hygiene.bootstrap_ci(s, keys, stat, r.bootstrap_n, r.bootstrap, r.job_seed()).drop("observed")
+            ci = hygiene.bootstrap_ci(s, keys, stat, r.bootstrap_n, r.bootstrap, r.job_seed(), cols=cols).drop("observed")
             out, low, high = out.join(ci, keys, "left"), F.col("lo"), F.col("hi")
         if r.null:
-            null = hygiene.null_p(s, keys, stat, tail, r.null_n, r.null, r.job_seed()).select(*keys, F.col("p_value").alias("null_p"))
+            null = hygiene.null_p(s, keys, stat, tail, r.null_n, r.null, r.job_seed(), cols=cols).select(*keys, F.col("p_value").alias("null_p"))
             out, p = out.join(null, keys, "left"), F.coalesce("null_p", p)
     extra = F.to_json(F.struct(*[c for c in head.columns if c not in keys]))
     n = F.col(scan.n).cast("long") if scan.n and scan.n in head.columns else F.lit(None).cast("long")

@@ -122,11 +122,11 @@ SCANS: dict[str, Scan] = {
         Scan("stats.regime.cusum_break", 1, anom.cusum_break, "statistic", n=None, fields=("target", "break_index", "break_ts_ms", "regime_index", "pre_mean", "post_mean", "pre_std", "post_std")),
         Scan("stats.meanrev.ou_halflife", 1, anom.ou_halflife, "lambda", n="nobs", fields=("ar1_coeff", "ar1_t_stat", "half_life")),
         Scan("stats.momentum.tsmom", 1, anom.tsmom, "coef", _only("selected"), "p_value", fields=("k", "coef", "t_stat", "p_value", "hit_rate", "tsmom_mean", "turnover")),
-        Scan("cross.corr.pearson_rolling", 2, cross.pearson_rolling, "r", _last("r", "i"), n="rows", required=("window",), fields=("i", "window_start_ms", "r", "crossing")),
-        Scan("cross.corr.spearman_rolling", 2, cross.spearman_rolling, "rho", _last("rho", "i"), n="rows", required=("window",), fields=("i", "window_start_ms", "rho", "crossing")),
-        Scan("cross.ols.rolling", 2, cross.ols_rolling, "beta", _last("beta", "i"), n="rows", required=("window",), fields=("beta", "alpha", "r2", "residual_std")),
-        Scan("cross.lead_lag.ccf", 2, cross.lead_lag, "lag", _only("best"), fields=("lag", "ccf", "best")),
-        Scan("cross.cointegration.engle_granger", 2, cross.engle_granger, "hedge_ratio", p="adf_p", fields=("hedge_ratio", "alpha", "adf_stat", "adf_p", "ou_half_life", "residual_std")),
+        Scan("cross.corr.pearson_rolling", 2, cross.pearson_rolling, "r", _last("r", "i"), n="rows", required=("window",), hygiene=(B, C), fields=("i", "window_start_ms", "r", "crossing")),
+        Scan("cross.corr.spearman_rolling", 2, cross.spearman_rolling, "rho", _last("rho", "i"), n="rows", required=("window",), hygiene=(B, C), fields=("i", "window_start_ms", "rho", "crossing")),
+        Scan("cross.ols.rolling", 2, cross.ols_rolling, "beta", _last("beta", "i"), n="rows", required=("window",), hygiene=(B, C), fields=("beta", "alpha", "r2", "residual_std")),
+        Scan("cross.lead_lag.ccf", 2, cross.lead_lag, "lag", _only("best"), hygiene=(B, C, P), fields=("lag", "ccf", "best")),
+        Scan("cross.cointegration.engle_granger", 2, cross.engle_granger, "hedge_ratio", p="adf_p", hygiene=(B, C, P), fields=("hedge_ratio", "alpha", "adf_stat", "adf_p", "ou_half_life", "residual_std")),
         Scan("cross.cointegration.rolling", 2, cross.cointegration_rolling, "hedge_ratio", p="adf_p", required=("window",), fields=("window_index", "window_start_ms", "window_end_ms", "reason_code")),
         Scan("seas.bucket.hour_of_day", 1, hour_of_day, "max_abs_t", seas.max_abs_t, fields=("bucket", "count", "mean", "std", "t_stat", "iqr")),
         Scan("seas.bucket.day_of_week", 1, day_of_week, "max_abs_t", seas.max_abs_t, fields=("bucket", "count", "mean", "std", "t_stat", "iqr")),
