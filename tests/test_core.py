@@ -226,3 +226,9 @@ def test_catalogue_has_28_scans():
     rows = catalogue()
     assert len(rows) == 28
     json.dumps(rows, default=str)
+
+
+def test_too_many_events_are_refused(spark):
+    events = spark.range(100_001).withColumnRenamed("id", "event_ms")
+    with pytest.raises(ValueError, match="more than 100000 events"):
+        seas.event_window(make(spark, np.arange(1.0, 40.0)), KEYS, events)

@@ -88,18 +88,24 @@ def anova_kruskal(bars: DataFrame, keys: list[str], by: str = "hour_of_day", lea
     return out.withColumn("anova_p", dist.f_p("f_stat", F.col("k") - 1, F.col("n") - F.col("k"))).withColumn("kw_p", dist.chi2_p("kw_stat", F.col("k") - 1))
 
 
+MOST_EVENTS = 100_000
+
+
 def event_window(bars: DataFrame, keys: list[str], events: DataFrame, pre: int = 5, post: int = 5) -> DataFrame:
     """A row a (key, event_ms) with whole windows: mean and std of the pre bars before the first return at or after the
-    event, and of the post bars from it on. events: event_ms.
+    event, and of the post bars from it on. events: event_ms, at most MOST_EVENTS different ones.
 
     Every return carries the sums of its windows; the as-of step counts, in one window over returns and events
     together, so no range join is needed.
     """
+    marked = events.select("event_ms").distinct()
+    if marked.limit(MOST_EVENTS + 1).count() > MOST_EVENTS:
+        raise ValueError(f"more than {MOST_EVENTS} events")
     w = over(keys, "i")
     s = returns(bars, keys)
     a, b = w.rowsBetween(-pre, -1), w.rowsBetween(0, post - 1)
     s = s.select(*keys, "ts_ms", "i", *[f("x").over(o).alias(f"{n}_{m}") for n, o in (("pre", a), ("post", b)) for m, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))])
-    marks = s.select(*keys).distinct().crossJoin(F.broadcast(events.select("event_ms").distinct().limit(100_000)))
+    marks = s.select(*keys).distinct().crossJoin(F.broadcast(marked))
     both = s.select(*keys, F.col("ts_ms").alias("at"), F.lit(1).alias("kind"), F.struct("ts_ms", "i", *[c for c in s.columns if "_" in c and c[:3] in ("pre", "pos")]).alias("row"))
     both = both.unionByName(marks.select(*keys, F.col("event_ms").alias("at"), F.lit(0).alias("kind")), allowMissingColumns=True)
     after = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
