@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,14 +14,14 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests on one machine) a folder is made."""
+    """The folder named in spark.checkpoint.dir, or else the one given to setCheckpointDir; an error if there is neither,
+    as a folder of this machine would not be seen by other executors."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tickloom-')}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,7 +33,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: what follows does not depend on executors that may be lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Remove the files of cut() tables that nothing will read again."""
+    for df in cuts:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -65,3 +72,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Itera
         step = max(1, int(b.num_rows * most / max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that a module keeps in its Python workers."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def only(cache: dict) -> dict:
+    """Empties all other modules' caches: workers live on from one operator to the next, and hold one operator's data."""
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    return cache
