@@ -2,7 +2,7 @@
 
 The distinct words of a batch lie one after another in one array of symbols. An index maps each pair of neighbours
 to all its positions; the active ranks are taken in ascending order from a heap, all positions of the pair are merged,
-and the lists of the pairs that this makes are updated. Words already encoded are kept by the worker up to a bound.
+and the lists of the pairs that this makes are updated. Words already encoded are kept by the worker, up to KEPT_BYTES.
 
 Reads the file of a public tokenizer (kind: BPE with word ends over byte-level pieces; NFC, white space, lower case).
 Text may be split at spaces and line feeds beforehand, as no piece goes over white space.
@@ -17,20 +17,22 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import rows_of, texts
+from tickloom.llm.common import only, rows_of, texts, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
-_loaded: dict[str, Bpe] = {}
+#: Bytes, about, of the chunks and ids that a worker keeps.
+KEPT_BYTES = 192 << 20
+_loaded: dict[str, object] = worker_cache()
 
 
 def byte_letters() -> list[str]:
@@ -40,31 +42,70 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-def _flat(parts: Iterable) -> list[int]:
-    return list(chain.from_iterable(parts))
-
-
-class Words(dict):
-    """chunk -> ids, with what is new in a batch encoded together. join puts the ids of a text's chunks together."""
-
-    def __init__(self, encode_new, most: int = KEPT_WORDS, join=_flat):
-        super().__init__()
-        self.encode_new, self.most, self.join = encode_new, most, join
-
-    def ids(self, batch: list[str]) -> Iterator[list[int]]:
-        """The ids of each text of the batch."""
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        seen = set().union(*split)
-        new = list(seen - self.keys())
-        if len(self) + len(new) > self.most:  # what this batch has stays, and so do the words that every batch has
-            stay = {w: self[w] for w in seen - set(new)}
-            self.clear()
-            self.update(stay)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.update(zip(part, self.encode_new(part), strict=True))
-        for s in split:
-            yield self.join(map(self.__getitem__, s))
+class Words:
+    """Ids of the chunks of texts that a space or line feed ends. The ids of known chunks lie one after another in one
+    array; what is new in a batch is encoded together. Over `most` bytes, only what the current batch has stays."""
+
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = KEPT_BYTES):
+        """encode_new: chunks -> (all their ids, number of ids of each)."""
+        self.encode_new, self.most = encode_new, most
+        self.at: dict[str, int] = {}
+        self.flat, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def ids(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the batch's texts (null: empty), and the number of ids of each."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(batch, ""), "\n", " "), " ")
+        found = pc.dictionary_encode(split.flatten())
+        chunks = found.dictionary.to_pylist()
+        place = self.places(chunks)
+        flat, each = self.of(place[found.indices.to_numpy(zero_copy_only=False)])
+        ends = np.concatenate([[0], np.cumsum(each)])
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        return flat, np.diff(ends[np.concatenate([[0], last])])
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where each of the chunks (distinct) is; unknown ones are encoded first. Holds until the next call."""
+        get = self.at.get
+        place = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        if len(fresh := np.flatnonzero(place < 0).tolist()):
+            new = [chunks[i] for i in fresh]
+            if self.used + _size(new) > self.most and self.at:
+                stay = np.flatnonzero(place >= 0)
+                flat, sizes = self.of(place[stay])
+                self.at, self.used = {}, 0
+                self.start[0] = 0
+                place[stay] = self._add([chunks[i] for i in stay.tolist()], flat, sizes)
+            for i in range(0, len(new), 50_000):
+                part = new[i : i + 50_000]
+                place[fresh[i : i + 50_000]] = self._add(part, *self.encode_new(part))
+        return place
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids at the places, and the number of each."""
+        sizes = self.start[place + 1] - self.start[place]
+        return self._gather(place, sizes), sizes
+
+    def _add(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n, at = len(self.at), int(self.start[len(self.at)])
+        self.start = _room(self.start, n + len(chunks) + 1)
+        self.flat = _room(self.flat, at + len(flat))
+        self.start[n + 1 : n + len(chunks) + 1] = at + np.cumsum(sizes)
+        self.flat[at : at + len(flat)] = flat
+        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.used += _size(chunks) + 4 * len(flat)
+        return np.arange(n, n + len(chunks))
+
+    def _gather(self, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.start[place] - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _size(chunks: list[str]) -> int:
+    return sum(map(len, chunks)) + 200 * len(chunks)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 class Bpe:
@@ -84,9 +125,15 @@ class Bpe:
             self.rank.setdefault((a, b), r)
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         letters = byte_letters()
-        self.first = [self.vocab[c] for c in letters]
-        self.last = [self.vocab[c + self.end] for c in letters]
-        self.words = Words(self.encode_chunks)
+        # ids of the bytes, and of the bytes at a word's end; ranks of their pairs
+        self.letters = np.array([self.vocab[c] for c in letters] + [self.vocab[c + self.end] for c in letters], np.int64)
+        code = {int(x): i for i, x in enumerate(self.letters)}
+        self.letter_ranks = np.full((512, 512), -1, np.int64)
+        for (x, y), r in self.rank.items():
+            if x in code and y in code:
+                self.letter_ranks[code[x], code[y]] = r
+        self.known = Words(self._merged, KEPT_BYTES // 2)
+        self.words = Words(self.encode_chunks, KEPT_BYTES // 2)
 
     def pieces(self, chunk: str) -> list[str]:
         """The words that the model gets; a special token is a piece of its own, as an id."""
@@ -94,7 +141,8 @@ class Bpe:
             return self.pattern.findall(chunk.lower())
         return self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", chunk))) if "Σ" in chunk else unicodedata.normalize("NFC", chunk).lower())
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and the number of ids of each."""
         split: list[list[str | int]] = []
         for c in chunks:
             if self.specials and "<|" in c:
@@ -105,32 +153,39 @@ class Bpe:
                 split.append(parts + self.pieces(c[at:]))
             else:
                 split.append(self.pieces(c))
-        words = {p for s in split for p in s if isinstance(p, str)}
-        merged = {p: self.words[p] for p in words & self.words.keys() if p.isalpha() and p.islower()}  # such a piece was a chunk before
-        words = list(words - merged.keys())
-        merged.update(zip(words, self.merge(words), strict=True))
-        return [tuple(chain.from_iterable((p,) if isinstance(p, int) else merged[p] for p in s)) for s in split]
+        seen = list({p for s in split for p in s if isinstance(p, str)})
+        flat, sizes = self.known.of(self.known.places(seen))
+        ids, at = flat.tolist(), np.cumsum(sizes).tolist()
+        merged: dict = {p: ids[j - n : j] for p, j, n in zip(seen, at, sizes.tolist(), strict=True)}
+        merged |= {i: [i] for i in self.added.values()}
+        sizes = np.fromiter((sum(len(merged[p]) for p in s) for s in split), np.int64, len(split))
+        return np.fromiter(chain.from_iterable(merged[p] for s in split for p in s), np.uint32, int(sizes.sum())), sizes
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.merge(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        symbol: list[int] = []
-        before: list[int] = []
-        after: list[int] = []
-        starts = []
-        for w in words:
-            b = w.encode()
-            i, n = len(symbol), len(b)
-            starts.append(i)
-            symbol += [self.first[x] for x in b[:-1]]
-            symbol.append(self.last[b[-1]])
-            before.append(-1)
-            before += range(i, i + n - 1)
-            after += range(i + 1, i + n)
-            after.append(-1)
-        index: dict[int, list[int]] = {}
+        """Ids of each word (none is empty)."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        code = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        code[bounds[1:] - 1] += 256
+        here = np.arange(len(code))
+        to, back = here + 1, here - 1
+        to[bounds[1:] - 1] = -1
+        back[bounds[:-1]] = -1
+        symbol, before, after = self.letters[code].tolist(), back.tolist(), to.tolist()
+        # the index of the letters' own pairs
+        ranks = self.letter_ranks[code[:-1], code[1:]] if len(code) else np.zeros(0, np.int64)
+        at = np.flatnonzero((ranks >= 0) & (to[:-1] > 0))
+        at = at[np.argsort(ranks[at], kind="stable")]
+        found, first = np.unique(ranks[at], return_index=True)
+        cuts, at = [*first.tolist(), len(at)], at.tolist()
+        index = {r: at[i:j] for r, i, j in zip(found.tolist(), cuts[:-1], cuts[1:], strict=True)}
         rank = self.rank
-        for i, j in enumerate(after):
-            if j > 0 and (r := rank.get((symbol[i], symbol[j]))) is not None:
-                index.setdefault(r, []).append(i)
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -157,11 +212,15 @@ class Bpe:
                         index[q] = []
                         heapq.heappush(active, q)
                     index[q].append(h)
-        ends = [*starts[1:], len(symbol)][: len(starts)]
-        return [[x for x in symbol[i:j] if x >= 0] for i, j in zip(starts, ends, strict=True)]
+        cuts = bounds.tolist()
+        return [[x for x in symbol[i:j] if x >= 0] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode_batch(self, batch: Iterable[str | None]) -> Iterator[list[int]]:
-        return self.words.ids([t or "" for t in batch])
+        flat, sizes = self.words.ids(pa.array(batch, pa.string()))
+        ids, at = flat.tolist(), 0
+        for n in sizes.tolist():
+            yield ids[at : at + n]
+            at += n
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library's decode without a decoder: the tokens, joined by spaces."""
@@ -169,6 +228,7 @@ class Bpe:
 
 
 def load(path: str) -> Bpe:
+    only(_loaded)
     if path not in _loaded:
         _loaded[path] = Bpe(path)
     return _loaded[path]
@@ -180,7 +240,9 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(public_tokenizers.path(vocabulary))
         for b in rows_of(batches):
-            yield pa.record_batch([b["doc_id"], pa.array(list(bpe.encode_batch(b["text"].to_pylist())), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            flat, sizes = bpe.words.ids(b["text"])
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.record_batch([b["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32)))], ["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -205,7 +267,7 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in rows_of(batches):
             n, ids, back = [], [], []
-            for x in bpe.encode_batch(b["text"].to_pylist()):
+            for x in bpe.encode_batch(b["text"]):
                 n.append(len(x))
                 ids.append(sha(" ".join(map(decimal.__getitem__, x))))
                 back.append(sha(bpe.decode(x)))

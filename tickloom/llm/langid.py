@@ -7,11 +7,13 @@ character, and the language with the least cost wins (ties: the smaller code poi
 The labelled text is a bounded sample (`sample_docs` whole documents and about `sample_chars` characters a language);
 the prediction reads whole texts. An automaton knows all letters of its own labelled text: transitions by its LETTERS
 most frequent ones are a dense table, those by the rest sorted keys. Many stretches of STRETCH characters are parsed in
-step, so Python runs once a column of characters and not once a character; no phrase goes over a stretch's end.
+step, so Python runs once a column of characters and not once a character. Then the phrase that a stretch ends in goes
+on into the next one until a phrase begins where that one's own parse has one begin; from there on both are the same.
+So the phrases are those of the whole text, however long.
 
 Defined cases: null texts, and texts without a letter, are `und` with score 0; without labelled text every text is
 `und`; a null lang or doc_id is not learned from; repeated rows give repeated results; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored; clashing names do no harm, as only positions and chosen columns are read.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import rows_of
+from tickloom.llm.common import only, rows_of, worker_cache
 
 UNKNOWN = "und"
 STRETCH = 512
 #: Letters of a language whose transitions are a dense table. Code 0 is the space between words.
 LETTERS = 62
 _folded: np.ndarray | None = None
-_built: dict[int, tuple] = {}
+_built: dict[int, tuple] = worker_cache()
 
 
 def folded() -> np.ndarray:
@@ -143,21 +145,50 @@ def _next(table: np.ndarray, width: int, rare: tuple | None, state: np.ndarray |
     return to
 
 
-def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray, length: np.ndarray, rare: tuple | None = None) -> np.ndarray:
-    """Phrases of each stretch codes[start : start + length]; the stretches come longest first. rare: as of sparse()."""
-    state, count = np.ones(len(start), np.int32), np.ones(len(start), np.int64)
-    live = len(start)
+def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray, length: np.ndarray, rare: tuple | None = None, before: np.ndarray | None = None) -> np.ndarray:
+    """Phrases that begin in each stretch codes[start : start + length]; the stretches come longest first. rare: as of
+    sparse(). before: of each stretch the one whose last phrase goes on into it, -1 if a phrase begins with it."""
     rare = rare if rare is not None and len(rare[0]) else None
-    for j in range(int(length[0]) if len(length) else 0):
-        while live and length[live - 1] <= j:
-            live -= 1
-        c = codes[start[:live] + j]
-        to = _next(table, width, rare, state[:live], c)
+    begins = np.zeros(len(codes), bool)
+    begins[start] = True
+    state = np.ones(len(start), np.int32)
+    live = len(start)
+
+    def step(now: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the characters at `at`, and which of these begin a phrase."""
+        c = codes[at]
+        to = _next(table, width, rare, now, c)
         if len(broken := np.flatnonzero(to == 0)):
-            count[broken] += 1
             again = _next(table, width, rare, 1, c[broken])
             to[broken] = np.where(again == 0, 1, again)
-        state[:live] = to
+        return to, broken
+
+    for j in range(int(length[0]) if len(length) else 0):
+        while live and length[live - 1] <= j:
+            live -= 1
+        at = start[:live] + j
+        state[:live], broken = step(state[:live], at)
+        begins[at[broken]] = True
+    run = np.concatenate([[0], np.cumsum(begins)])
+    count = run[start + length] - run[start]
+    redo = np.flatnonzero(before >= 0) if before is not None else np.zeros(0, np.int64)
+    while len(redo):
+        lane, now, new, changed = redo, state[before[redo]], np.zeros(len(redo), np.int64), []
+        at, end = start[redo].copy(), start[redo] + length[redo]
+        while len(lane):
+            now, broken = step(now, at)
+            new[broken] += 1
+            met = np.zeros(len(lane), bool)
+            met[broken] = begins[at[broken]]
+            count[lane[met]] = new[met] + run[end[met]] - run[at[met] + 1]
+            at = at + 1
+            over = ~met & (at == end)
+            count[lane[over]] = new[over]
+            changed.append(lane[over][now[over] != state[lane[over]]])
+            state[lane[over]] = now[over]
+            go = ~(met | over)
+            lane, now, new, at, end = lane[go], now[go], new[go], at[go], end[go]
+        redo = np.flatnonzero(np.isin(before, np.concatenate(changed)))
     return count
 
 
@@ -175,8 +206,11 @@ def parse(model: tuple, batch: list[str | None]) -> tuple[list[str], list[float]
     start = (np.cumsum(n) - n)[doc] + k * STRETCH
     length = np.minimum(STRETCH, n[doc] - k * STRETCH)
     order = np.argsort(-length, kind="stable")
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    before = np.where(k[order] > 0, where[order - 1], -1)
     doc, start, length = doc[order], start[order], length[order]
-    cost = np.stack([np.bincount(doc, phrases(t, width, code[seen], start, length, rare), len(batch)) * bits / np.maximum(n, 1) for t, width, rare, code, bits in tables])
+    cost = np.stack([np.bincount(doc, phrases(t, width, code[seen], start, length, rare, before), len(batch)) * bits / np.maximum(n, 1) for t, width, rare, code, bits in tables])
     best = cost.argmin(axis=0)
     least = cost[best, np.arange(len(batch))]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -211,7 +245,7 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     key, spread = hash(tuple(sorted(samples.items()))), docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
+        if key not in only(_built):
             _built.clear()
             _built[key] = build(spread.value)
         for b in rows_of(batches):
@@ -239,7 +273,7 @@ def identified(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
+        if key not in only(_built):
             _built.clear()
             _built[key] = build(spread.value)
         for b in rows_of(batches):

@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, partitions, rows_of, texts
+from tickloom.llm.common import cut, only, partitions, rows_of, texts, worker_cache
 
 BITS = 128
 _SIGN = (2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) - 1).astype(np.float64)
 _AT = (np.arange(BITS // 8) * 256)[None, :]
 #: Words whose hashes a worker keeps at once.
 KEPT_WORDS = 1 << 18
-_words: dict[bytes, int] = {}
+_words: dict[bytes, int] = worker_cache()
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -43,7 +43,7 @@ def _terms(text: str) -> np.ndarray:
     if len(words) < 2:
         words = [text[i : i + 3] for i in range(max(1, len(text) - 2))] if text else []
         return np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in words), np.uint64, len(words))
-    if len(_words) > KEPT_WORDS:
+    if len(only(_words)) > KEPT_WORDS:
         _words.clear()
     h = np.fromiter((_words.get(w) or _words.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
     return _mix(h[:-1], 7) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))

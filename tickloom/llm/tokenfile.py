@@ -19,8 +19,8 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.bpe import Words
-from tickloom.llm.common import cut, partitions, rows_of, scratch, texts
+from tickloom.llm.bpe import KEPT_BYTES, Words, byte_letters
+from tickloom.llm.common import cut, only, partitions, rows_of, scratch, texts, worker_cache
 
 MAGIC = b"TLPLANE1"
 BLOCK, SHARD = 1 << 16, 1 << 22
 VOCABULARY, END = "word_bpe_49k.json", 1
 LEVEL = 1
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]+)?")
-_library: dict[str, Words] = {}
+TOGETHER = 2000
+_library: dict[str, Words] = worker_cache()
 
 
 def planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -94,23 +95,54 @@ class Reader:
 
 
 def library(path: str) -> Words:
-    """The tokenizers library's ids (4 bytes each) of chunks of text that a space or line feed ends, kept for chunks seen
-    before. A chunk of Latin letters and final punctuation is two of the pre-tokenizer's words, so the library gets
-    each such word once, in lower case."""
+    """The tokenizers library's ids of chunks of text that a space or line feed ends.
+
+    A chunk of Latin letters and final punctuation is one or two of the pre-tokenizer's words: these go to the library's
+    model in lower case, with bytes as the byte-level letters, TOGETHER at a time, and a token that ends a word tells
+    where the next one begins. The whole of the library's tokenizer encodes all other chunks.
+    """
+    only(_library)
     if path not in _library:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        whole, model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        model.normalizer = model.pre_tokenizer = None
+        suffix, vocabulary = model.model.end_of_word_suffix, model.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        letters = byte_letters()
+        table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            words, owner, others = [], [], []
+            for i, c in enumerate(chunks):
+                if m := PLAIN.fullmatch(c):
+                    word, mark = m.groups()
+                    word = word.lower()
+                    words.append(word if word.isascii() else word.translate(table))
+                    owner.append(i)
+                    if mark:
+                        words.append(mark)
+                        owner.append(i)
+                else:
+                    others.append(i)
+            batches = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+            ids = [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(batches, is_pretokenized=True, add_special_tokens=False)]
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            whose = np.array(owner, np.int64)[np.cumsum(ends[flat]) - ends[flat]]
+            rest = [e.ids for e in whole.encode_batch_fast([chunks[i] for i in others], add_special_tokens=False)]
+            whose = np.concatenate([whose, np.repeat(np.array(others, np.int64), [len(x) for x in rest])])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.uint32)])
+            return flat[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(chunks))
+
+        _library[path] = Words(encode, KEPT_BYTES)
+    return _library[path]
 
-        def encode(chunks: list[str]) -> list[bytes]:
-            parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c,) for c in chunks]
-            new = list({p for q in parts for p in q if p} - words.keys())
-            words.update(zip(new, (array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            return [b"".join([words[p] for p in q if p]) for q in parts]
 
-        words = _library[path] = Words(encode, 1_500_000, b"".join)
-    return _library[path]
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a URI, and the path there; Hadoop's names for S3 are those of S3."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END, bits: bool = False) -> DataFrame:
@@ -118,28 +150,33 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = library(public_tokenizers.path(vocabulary)), TaskContext.get().partitionId()
-        store, base = fs.FileSystem.from_uri(folder)
-        ids, names, sizes, seq, last = [], [], [], 0, end.to_bytes(4, "little")
+        store, base = _store(folder)
+        ids, names, sizes, seq = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             name = f"{base}/ids-{part:06d}-{seq:06d}.tlp"
             store.create_dir(base, recursive=True)
-            with store.open_output_stream(tmp := f"{name}.{uuid.uuid4().hex}") as f:
-                f.write(pack(np.frombuffer(b"".join(ids), "<u4"), names, sizes, bits))
-            store.move(tmp, name)
-            n = sum(sizes)
-            return pa.record_batch([pa.array([f"{folder}/ids-{part:06d}-{seq:06d}.tlp"]), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([n], pa.int64())], ["uri", "part", "seq", "n_docs", "n_ids"])
+            data = pack(np.concatenate(ids), names, sizes, bits)
+            try:
+                with store.open_output_stream(tmp := f"{name}.{uuid.uuid4().hex}") as f:
+                    f.write(data)
+                store.move(tmp, name)
+            except Exception:
+                if store.get_file_info(tmp).type != fs.FileType.NotFound:
+                    store.delete_file(tmp)
+                raise
+            return pa.record_batch([pa.array([f"{folder}/ids-{part:06d}-{seq:06d}.tlp"]), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["uri", "part", "seq", "n_docs", "n_ids"])
 
         held = 0
         for b in rows_of(batches):
-            for i, x in zip(b["doc_id"].to_pylist(), words.ids(b["text"].to_pylist()), strict=True):
-                ids.append(x + last)
-                names.append(i)
-                sizes.append(len(x) // 4 + 1)
-                held += sizes[-1]
-                if held >= SHARD:
-                    yield flush()
-                    ids, names, sizes, seq, held = [], [], [], seq + 1, 0
+            flat, each = words.ids(b["text"])
+            ids.append(np.insert(flat, np.cumsum(each), end))
+            names += b["doc_id"].to_pylist()
+            sizes += (each + 1).tolist()
+            held += len(ids[-1])
+            if held >= SHARD:
+                yield flush()
+                ids, names, sizes, seq, held = [], [], [], seq + 1, 0
         if names:
             yield flush()
 
@@ -155,7 +192,7 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b["uri"].to_pylist(), b["start"].to_pylist(), strict=True):
-                store, path = fs.FileSystem.from_uri(uri)
+                store, path = _store(uri)
                 with store.open_input_stream(path) as f:
                     r = Reader(f.read())
                 sizes = np.array(r.sizes, np.int64)
