@@ -171,6 +171,7 @@ def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray,
         begins[at[broken]] = True
     run = np.concatenate([[0], np.cumsum(begins)])
     count = run[start + length] - run[start]
+    own = state.copy()
     redo = np.flatnonzero(before >= 0) if before is not None else np.zeros(0, np.int64)
     while len(redo):
         lane, now, new, changed = redo, state[before[redo]], np.zeros(len(redo), np.int64), []
@@ -184,8 +185,9 @@ def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray,
             at = at + 1
             over = ~met & (at == end)
             count[lane[over]] = new[over]
-            changed.append(lane[over][now[over] != state[lane[over]]])
-            state[lane[over]] = now[over]
+            for ended, last in ((lane[met], own[lane[met]]), (lane[over], now[over])):
+                changed.append(ended[last != state[ended]])
+                state[ended] = last
             go = ~(met | over)
             lane, now, new, at, end = lane[go], now[go], new[go], at[go], end[go]
         redo = np.flatnonzero(np.isin(before, np.concatenate(changed)))
