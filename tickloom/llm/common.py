@@ -29,10 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: what follows does not depend on executors that may be lost."""
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df to the shared folder (in folders by some columns) and read it back: what follows does not depend on
+    executors that may be lost."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

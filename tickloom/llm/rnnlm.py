@@ -3,8 +3,8 @@
 Counts of all words of the training documents come from the whole corpus. The `MODEL` most frequent words, one token
 for all other words and one for a document's end are the network's tokens. It is trained by truncated backpropagation
 (windows of STEPS tokens, LANES side by side, the state carried over, reset where a document begins) on all training
-documents, whole: in each of EPOCHS rounds every partition trains from the same weights over all its documents, and the
-weights' means, by tokens, start the next round. The output is factored: P(class) P(token | class). A word outside the
+documents, whole, each once: every partition deals them out in turn to ROUNDS rounds, in each of which every partition trains from
+the same weights over its documents of that round, and the weights' means, by tokens, start the next round. The output is factored: P(class) P(token | class). A word outside the
 network's tokens has P(other) times its add-half share of the training counts of such words.
 
 Scoring runs over whole documents, all of a buffer in step, with the state carried from window to window. Words with at
@@ -12,7 +12,8 @@ least 1 / HEAVY of all training tokens (so HEAVY at most, of at most 64 characte
 counts of all rarer words come by a join on their 64-bit hashes.
 
 Defined cases: a null text counts as empty and has its end token alone; a null doc_id is trained on and not held out;
-repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated results; an empty table gives an empty result; other columns are ignored; very long texts
+are trained on and scored whole, window by window.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, rows_of, texts
+from tickloom.llm.common import cut, forget, rows_of, texts
 
-MODEL, CLASS = 2014, 45
-HIDDEN, STEPS, LANES = 32, 24, 32
-EPOCHS, RATE = 3, 0.01
+MODEL, CLASS = 1022, 32
+HIDDEN, STEPS, LANES = 16, 24, 256
+#: A block of tokens too small for WINDOWS windows of LANES lanes is laid out in fewer lanes.
+WINDOWS = 64
+ROUNDS, RATE = 4, 0.01
 HEAVY, LONGEST = 200_000, 64
 END, OTHER = 0, 1
 #: Tokens that a worker scores together, or lays out together for training.
@@ -62,6 +65,15 @@ def _picked(a: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(a @ np.ones(a.shape[1], np.float32))
 
 
+def _soft(a: np.ndarray, every: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place; returns that of each row at one place."""
+    if a.max(initial=0) > 60:
+        a -= a.max(axis=1, keepdims=True)
+    np.exp(a, out=a)
+    a /= (a @ np.ones(a.shape[1], a.dtype))[:, None]
+    return a[every, at]
+
+
 class Gru:
     """Tokens 0 .. size - 1 in classes of CLASS neighbours."""
 
@@ -164,43 +176,53 @@ class Gru:
         """Gradients over one window of (steps, lanes), the state after it, and the loss a token. grad: zeros to add them to."""
         p, k, n = self.p, HIDDEN, x.size
         grad = {name: np.zeros_like(v) for name, v in p.items()} if grad is None else grad
-        at, kept = x.ravel(), []
+        at, kind = x.ravel(), p["wh"].dtype
         e = p["e"][at]
         x3 = (e @ p["wx"] + p["b"]).reshape(*x.shape, 3 * k)
-        live = (~fresh)[:, :, None]
+        live = (~fresh)[:, :, None].astype(kind)
+        h0s, zs, rs, gs, hns, hs = (np.empty((*x.shape, k), kind) for _ in range(6))
         for t in range(len(x)):
-            h0 = h * live[t]
-            h, z, r, g, hn = self.step(x3[t], h0)
-            kept.append((h0, z, r, g, hn, h))
-        h0s, zs, rs, gs, hns, hs = (np.stack([s[i] for s in kept]) for i in range(6))
+            h0 = np.multiply(h, live[t], out=h0s[t])
+            hw, xt, g = h0 @ p["wh"], x3[t], gs[t]
+            zr = hw[:, : 2 * k]
+            zr += xt[:, : 2 * k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            zs[t], rs[t], hns[t] = zr[:, :k], zr[:, k:], hw[:, 2 * k :]
+            np.multiply(rs[t], hns[t], out=g)
+            g += xt[:, 2 * k :]
+            np.tanh(g, out=g)
+            h = np.subtract(g, h0, out=hs[t])
+            h *= zs[t]
+            h += h0
         # rows in the order of their classes, so that each class is one stretch
         order = np.argsort((y.ravel() // CLASS).astype(np.int16), kind="stable")
         target, flat, every = y.ravel()[order], hs.reshape(n, k)[order], np.arange(n)
         cls, within = np.divmod(target, CLASS)
-        a = flat @ p["wc"] + p["bc"]
-        a = np.exp(a - a.max(axis=1, keepdims=True))
-        a /= a.sum(axis=1, keepdims=True)
-        loss = -np.log(a[every, cls] + 1e-30)
+        a = flat @ p["wc"]
+        a += p["bc"]
+        own = _soft(a, every, cls)
         a[every, cls] -= 1
         a /= n
         grad["wc"] += flat.T @ a
-        grad["bc"] += a.sum(axis=0)
+        grad["bc"] += np.ones(n, kind) @ a
         dh = a @ p["wc"].T
         there, edge = np.unique(cls, return_index=True)
         spans = list(zip(there.tolist(), edge.tolist(), [*edge[1:].tolist(), n], strict=True))
-        b = p["bo"][cls]
+        b = np.empty((n, CLASS), kind)
         for c, i, j in spans:
-            b[i:j] += flat[i:j] @ p["wo"][c]
-        b -= b.max(axis=1, keepdims=True)
-        np.exp(b, out=b)
-        b /= b.sum(axis=1, keepdims=True)
-        loss -= np.log(b[every, within] + 1e-30)
+            np.matmul(flat[i:j], p["wo"][c], out=b[i:j])
+            b[i:j] += p["bo"][c]
+        own = own * _soft(b, every, within)
         b[every, within] -= 1
         b /= n
-        grad["bo"][there] += np.add.reduceat(b, edge, axis=0)
         for c, i, j in spans:
-            grad["wo"][c] += flat[i:j].T @ b[i:j]
-            dh[i:j] += b[i:j] @ p["wo"][c].T
+            part = b[i:j]
+            grad["bo"][c] += np.ones(j - i, kind) @ part
+            grad["wo"][c] += flat[i:j].T @ part
+            dh[i:j] += part @ p["wo"][c].T
         back = np.empty_like(dh)
         back[order] = dh
         dh = back.reshape(*x.shape, k)
@@ -223,7 +245,7 @@ class Gru:
         grad["b"] += flat.sum(axis=0)
         there, edge = np.unique(at[order], return_index=True)
         grad["e"][there] += np.add.reduceat((flat @ p["wx"].T)[order], edge, axis=0)
-        return grad, h, float(loss.mean())
+        return grad, h, float(-np.log(own + 1e-30).mean())
 
     def train(self, docs: Iterable[np.ndarray], rate: float = RATE) -> tuple[int, float]:
         """Adam over windows, once over all documents (token arrays, END last); returns the tokens and the loss a token."""
@@ -268,7 +290,7 @@ def _lanes(docs: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
         first = np.zeros(len(y), bool)
         first[np.cumsum([0, *map(len, held[:-1])])] = True
         x = np.concatenate([[END], y[:-1]])
-        lanes = max(1, min(LANES, len(y) // STEPS))
+        lanes = max(1, min(LANES, len(y) // (STEPS * WINDOWS)))
         n = -(-len(y) // lanes)
         y, x, fresh = (np.ascontiguousarray(np.resize(v, n * lanes).reshape(lanes, n).T) for v in (y, x, first))
         return x.astype(np.int32), y.astype(np.int32), fresh
@@ -304,20 +326,23 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def encoded(training: DataFrame, words: list[bytes]) -> DataFrame:
-    """tokens of every row: the network's, as 16-bit integers, END last; written once for all rounds."""
+    """round, and tokens of every row: the network's, as 16-bit integers, END last; written once, in a folder a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {w: i + 2 for i, w in enumerate(words)}
+        at, seen = {w: i + 2 for i, w in enumerate(words)}, 0
         for b in rows_of(batches):
-            yield pa.record_batch([pa.array([np.array([*(at.get(w, OTHER) for w in words_of(t)), END], "<i2").tobytes() for t in b["text"].to_pylist()], pa.binary())], ["tokens"])
+            rows = [words_of(t) for t in b["text"].to_pylist()]
+            turn = np.arange(seen, seen + len(rows)) % ROUNDS
+            seen += len(rows)
+            tokens = [np.array([*(at.get(w, OTHER) for w in r), END], "<i2").tobytes() for r in rows]
+            yield pa.record_batch([pa.array(turn, pa.int32()), pa.array(tokens, pa.binary())], ["round", "tokens"])
 
-    return cut(training.select("text").mapInArrow(run, "tokens binary"), "tokens")
+    return cut(training.select("text").mapInArrow(run, "round int, tokens binary"), "tokens", "round")
 
 
 def trained(gru: Gru, tokens: DataFrame) -> list[int]:
-    """Train gru in place on all rows of tokens, in EPOCHS rounds; returns each round's count of tokens."""
+    """Train gru in place on all rows of tokens (round, tokens), each once; returns each round's count of tokens."""
     spark, seen = tokens.sparkSession, []
-    groups = math.isqrt(max(1, tokens.rdd.getNumPartitions())) + 1
     shapes = {k: v.shape for k, v in gru.p.items()}
     schema = "part long, n long, weights binary"
 
@@ -333,9 +358,11 @@ def trained(gru: Gru, tokens: DataFrame) -> list[int]:
             n, total = sums(rows)
             yield pa.record_batch([pa.array([min(r[0] for r in rows)], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n", "weights"])
 
-    for e in range(EPOCHS):
+    for turn in range(ROUNDS):
         given = spark.sparkContext.broadcast(gru)
-        rate = RATE * (1 - 0.9 * e / EPOCHS)
+        rate = RATE * (1 - 0.9 * turn / ROUNDS)
+        now = tokens.filter(F.col("round") == turn).select("tokens")
+        groups = math.isqrt(max(1, now.rdd.getNumPartitions())) + 1
 
         def fit(batches: Iterator[pa.RecordBatch], given=given, rate=rate) -> Iterator[pa.RecordBatch]:
             own = copy.deepcopy(given.value)
@@ -345,10 +372,10 @@ def trained(gru: Gru, tokens: DataFrame) -> list[int]:
                 yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["part", "n", "weights"])
 
         # means of about sqrt(partitions) partitions each, so that few weights reach the driver
-        got = tokens.mapInArrow(fit, schema).repartition(groups).mapInArrow(add, schema).collect()
+        got = now.mapInArrow(fit, schema).repartition(groups).mapInArrow(add, schema).collect()
         given.destroy()
         if not got:
-            break
+            continue
         n, total = sums([tuple(r) for r in got])
         flat, at = (total / n).astype(np.float32), 0
         for k, shape in shapes.items():
@@ -370,7 +397,9 @@ def learn(counts: DataFrame, training: DataFrame) -> dict:
     inside = min(MODEL, len(words))
     rest = int(total - c[:inside].sum())
     gru = Gru(inside + 2, np.concatenate([[n_docs, rest], c[:inside]]))
-    trained(gru, encoded(training, words[:inside]))
+    written = encoded(training, words[:inside])
+    trained(gru, written)
+    forget(written)
     other = np.log10(rest + 0.5 * (distinct - inside + 1))
     return {"words": words, "log_c": np.log10(c + 0.5), "inside": inside, "gru": gru, "tokens": int(tokens), "types": int(types), "ends": int(n_docs), "other": float(other)}
 
