@@ -341,7 +341,7 @@ def encoded(training: DataFrame, words: list[bytes]) -> DataFrame:
 
 
 def trained(gru: Gru, tokens: DataFrame) -> list[int]:
-    """Train gru in place on all rows of tokens (round, tokens), each once; returns each round's count of tokens."""
+    """Train gru in place on all rows of tokens (round, tokens), each once; returns the number of tokens, then each round's."""
     spark, seen = tokens.sparkSession, []
     shapes = {k: v.shape for k, v in gru.p.items()}
     schema = "part long, n long, weights binary"
@@ -383,7 +383,7 @@ def trained(gru: Gru, tokens: DataFrame) -> list[int]:
             gru.p[k] = flat[at : at + size].reshape(shape)
             at += size
         seen.append(n)
-    return seen
+    return [sum(seen), *seen]
 
 
 def learn(counts: DataFrame, training: DataFrame) -> dict:
