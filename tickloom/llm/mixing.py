@@ -7,7 +7,7 @@ are sorted; only histograms meet in a window.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; rows with one doc_id
 share one hash and so are taken together; a null doc_id hashes as the empty string; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored, and mixed() gives its own columns names that the table has not; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import cut
 
 BITS, LEVEL = 60, 12
-#: A document with more than 1 / BIG of its source's words is decided first, so that the many small ones level out its error.
+#: A document with more than 1 / BIG of its source's words is decided first, by thresholds of its own, so that the many
+#: small ones level out its error. A parameter of the method; both kinds are taken whole and by the same rule.
 BIG = 1000
 SPACE = "[ \\t-\\r]+"
 
 
 def words(text: Column) -> Column:
     """Number of runs of characters other than space and 0x09 to 0x0D."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}$", "")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}|{SPACE}\\z", "")  # $ would also match before a last U+0085, U+2028 or U+2029
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE, -1))).cast("long")
 
 
@@ -143,11 +144,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The documents themselves, with all their columns, each as often as the mix takes it."""
     p = plan(docs, weights, budget, cap)
-    p = p.select(*[F.col(c).alias(f"__mix_{c}") for c in p.columns])
-    edge = F.when(words(F.col("text")) * BIG > F.col("__mix_source_size"), F.col("__mix_big_cut")).otherwise(F.col("__mix_small_cut"))
-    n = F.col("__mix_full") + (hash60(F.col("doc_id")) <= edge).cast("long")
-    both = docs.join(p, docs["source"].cast("string").eqNullSafe(F.col("__mix_source")))
-    return both.withColumn("__mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).select(*docs.columns)
+    own = "mix_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    p = p.select(*[F.col(c).alias(own + c) for c in p.columns])
+    edge = F.when(words(F.col("text")) * BIG > F.col(f"{own}source_size"), F.col(f"{own}big_cut")).otherwise(F.col(f"{own}small_cut"))
+    n = F.col(f"{own}full") + (hash60(F.col("doc_id")) <= edge).cast("long")
+    both = docs.join(p, docs["source"].cast("string").eqNullSafe(F.col(f"{own}source")))
+    return both.withColumn(f"{own}copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).select(*[docs[c] for c in docs.columns])
 
 
 #: The same in DuckDB: running sums over all rows in hash order stand for the thresholds.
