@@ -31,7 +31,7 @@ from tickloom.llm.common import only, rows_of, texts, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes, about, of the chunks and ids that a worker keeps.
-KEPT_BYTES = 192 << 20
+KEPT_BYTES = 128 << 20
 _loaded: dict[str, object] = worker_cache()
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +65,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -85,8 +89,21 @@ def worker_cache() -> dict:
 
 
 def only(cache: dict) -> dict:
-    """Empties all other modules' caches: workers live on from one operator to the next, and hold one operator's data."""
-    for c in _caches:
-        if c is not cache:
-            c.clear()
+    """Empties all other modules' caches and gives their memory back to the system: workers live on from one operator to
+    the next, and hold one operator's data."""
+    if any(c for c in _caches if c is not cache):
+        for c in _caches:
+            if c is not cache:
+                c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
     return cache
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Unless the session says otherwise, rows reach Python by the thousand: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")

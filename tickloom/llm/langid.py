@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only, rows_of, worker_cache
+from tickloom.llm.common import only, rows_of, small_batches, worker_cache
 
 UNKNOWN = "und"
 STRETCH = 512
@@ -169,7 +169,7 @@ def phrases(table: np.ndarray, width: int, codes: np.ndarray, start: np.ndarray,
         at = start[:live] + j
         state[:live], broken = step(state[:live], at)
         begins[at[broken]] = True
-    run = np.concatenate([[0], np.cumsum(begins)])
+    run = np.concatenate([np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)])
     count = run[start + length] - run[start]
     own = state.copy()
     redo = np.flatnonzero(before >= 0) if before is not None else np.zeros(0, np.int64)
@@ -244,6 +244,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """docs' doc_id with lang_pred, score and bits (a character); the automata are built once a worker."""
+    small_batches(docs.sparkSession)
     key, spread = hash(tuple(sorted(samples.items()))), docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +270,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
     """The documents, all columns kept, without those that are rejected: no letters, or more bits a character than any
     of the languages would need for its own prose."""
+    small_batches(docs.sparkSession)
     samples = learn(training(docs))
     key, spread = hash(tuple(sorted(samples.items()))), docs.sparkSession.sparkContext.broadcast(samples)
     columns = docs.columns
