@@ -211,3 +211,16 @@ def test_stream_gives_the_batch_bars(spark, tables, tmp_path):
     got = sorted((r.event_type, r.ts_ms, r.open, r.close, r.tick_volume) for r in spark.sql("SELECT * FROM bars_out").collect())
     want = sorted((r.symbol, r.ts_ms, r.open, r.close, r.tick_volume) for r in event_bars(spark, tables).collect())
     assert got == want
+
+
+def test_parameters_have_their_own_names_and_bad_series_give_scan_errors(spark):
+    text = '[sweep]\nseed = 0xDEADBEEF\n[[jobs]]\nscan = "stats.autocorr.ljung_box@1"\ninstruments = ["EURUSD:bid", "GBPUSD:bid"]\ntimeframes = ["15m"]\nwindows = ["2024-01-15:2024-01-29"]\nparams = { lags = 5 }\n[fdr]\nfamily = "scan_id"\nalpha = 0.05\n'
+    sweep = engine.parse_sweep(text)
+    assert [j.params for j in sweep.jobs] == [{"lags": 5}] * 2 and len(engine.together(sweep.jobs)) == 1
+    assert SCANS["stats.outliers.z_and_mad@1"].params == {"z_threshold": 3.0, "modified_z_threshold": 3.5, "series": "log_returns"}
+    lo = sweep.jobs[0].window[0]
+    rows = [("EURUSD", "bid", lo + i * 60_000, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(2880)]
+    bars = spark.createDataFrame(rows, "symbol string, side string, ts_ms long, open double, high double, low double, close double, tick_volume double")
+    jobs = engine.parse_sweep(text.replace("ljung_box", "__").replace("stats.autocorr.__", "stats.normality.jarque_bera").replace("params = { lags = 5 }\n", "")).jobs
+    got = {r.instruments: r for r in engine.run_sweep(bars, engine.Sweep(jobs)).collect()}
+    assert {k: (r.kind, r.error.split(":")[0]) for k, r in got.items()} == {"EURUSD:bid": ("scan_error", "compute_error"), "GBPUSD:bid": ("scan_error", "coverage_gap")}

@@ -77,16 +77,30 @@ def jarque_bera(bars: DataFrame, keys: list[str], of: str = "log_returns") -> Da
     return m.withColumn("p_value", F.exp(-F.col("jb") / 2)).withColumn("jb_per_n", F.col("jb") / F.col("n"))
 
 
-def outliers(bars: DataFrame, keys: list[str], z: float = 3.0, modified_z: float = 3.5, of: str = "log_returns") -> DataFrame:
-    """A row a flagged value: i, ts_ms, z, modified_z, with the key's n, median and mad. Keys without a MAD give none."""
+def _scored(bars: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """The series with its key's n, median and mad, and each value's z and modified_z. Keys without a MAD give no rows."""
     s = series(bars, keys, of)
     a = s.groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile("x", F.lit(0.5)).alias("median"))
     s = s.join(a, keys)
     mad = s.groupBy(*keys).agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad")).filter("mad > 0")
-    s = s.join(mad, keys).withColumn("z", F.try_divide(F.col("x") - F.col("mean"), "sd")).withColumn("modified_z", F.try_divide(0.6745 * (F.col("x") - F.col("median")), "mad"))
+    return s.join(mad, keys).withColumn("z", F.try_divide(F.col("x") - F.col("mean"), "sd")).withColumn("modified_z", F.try_divide(0.6745 * (F.col("x") - F.col("median")), "mad"))
+
+
+def outliers(bars: DataFrame, keys: list[str], z: float = 3.0, modified_z: float = 3.5, of: str = "log_returns") -> DataFrame:
+    """A row a flagged value: i, ts_ms, z, modified_z, with the key's n, median and mad. Keys without a MAD give none."""
+    s = _scored(bars, keys, of)
     return s.filter((F.abs("z") > z) | (F.abs("modified_z") > modified_z)).select(*keys, "i", "ts_ms", "n", "median", "mad", "z", "modified_z")
 
 
+def outlier_profile(bars: DataFrame, keys: list[str], z: float = 3.0, modified_z: float = 3.5, of: str = "log_returns") -> DataFrame:
+    """A row a key: n, median, mad, the count of flagged values (which may be 0), its share, and the flagged ones in order."""
+    hit = (F.abs("z") > z) | (F.abs("modified_z") > modified_z)
+    hit = F.coalesce(hit, F.lit(False))
+    flagged = F.array_sort(F.collect_list(F.when(hit, F.struct("i", "ts_ms", "z", "modified_z"))))
+    g = _scored(bars, keys, of).groupBy(*keys, "n", "median", "mad").agg(F.sum(hit.cast("long")).alias("count"), flagged.alias("flagged"))
+    return g.withColumn("outlier_rate", F.col("count") / F.col("n"))
+
+
 def drawdown_episodes(bars: DataFrame, keys: list[str], of: str = "log_returns") -> DataFrame:
     """A row an episode: peak, trough and recovery moments, depth (0 or less) and whether it recovered.
 

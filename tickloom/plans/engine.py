@@ -1,6 +1,8 @@
 """Runs scan requests: preflight, gaps, resampling, the scan, hygiene, and findings as rows.
 
-All jobs of one scan, timeframe, window, policy and parameters run as one plan over all their instruments.
+All single-instrument jobs of one scan, timeframe, window, policy and parameters run as one plan over all their
+instruments; pairs and resampled jobs have plans of their own. A stretch for which a scan has no result, an instrument
+without bars, and parameters that a scan refuses give a scan_error and not an end of the sweep.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 import itertools
 import tomllib
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,27 +78,43 @@ def prepared(minute_bars: DataFrame, r: ScanRequest, who: list[tuple[str, str]],
 
 
 def run(minute_bars: DataFrame, r: ScanRequest) -> DataFrame:
-    """Findings of one request: a result for each stretch, or gap_aborted. Bars: symbol, side, ts_ms, open .. tick_volume."""
+    """Findings of one request: a result for each stretch, gap_aborted, or scan_error. Bars: symbol, side, ts_ms, open .. tick_volume."""
+    return run_together(minute_bars, [r])
+
+
+def run_together(minute_bars: DataFrame, jobs: list[ScanRequest]) -> DataFrame:
+    """Findings of requests that differ in their instruments only, as one plan. Pairs and resampling run one request at a time."""
+    r = jobs[0]
     scan, params, who = preflight(r)
-    spark, digest = minute_bars.sparkSession, param_hash(params)
-    base = {"job": str(r.job_seed()), "scan": r.scan, "instruments": ",".join(r.instruments), "param_hash": digest}
+    for other in jobs[1:]:
+        who = who + preflight(other)[2]
+    spark, pair = minute_bars.sparkSession, scan.arity == 2
+    if len(jobs) > 1 and (pair or r.bootstrap or r.null):
+        raise ValueError("only single instruments without resampling run together")
+    base = {"scan": r.scan, "param_hash": param_hash(params)}
+    named = spark.createDataFrame([(*(("pair",) if pair else w), str(j.job_seed()), ",".join(j.instruments)) for j, w in zip(jobs, who, strict=False)], ("pair string" if pair else "symbol string, side string") + ", job string, instruments string")
+    tag = [F.lit(v).alias(k) for k, v in base.items()]
     if r.dry_run:
-        return spark.createDataFrame([("dry_run", *base.values())], "kind string, job string, scan string, instruments string, param_hash string")
-    data, refused, keys = prepared(minute_bars, r, who, scan.arity == 2)
-    keys = [*keys, "segment"]
-    given = {k: tuple(v) if isinstance(v, list) and k.endswith("values") else v for k, v in params.items()}
+        return named.select(F.lit("dry_run").alias("kind"), "job", "instruments", *tag)
+    data, refused, own = prepared(minute_bars, r, who, pair)
+    keys = [*own, "segment"]
+    given = scan.arguments(params)
     if "timeframe" in scan.params:
         given["timeframe"] = r.timeframe
-    rows = scan.run(data, keys, **given)
+    try:
+        rows = scan.run(data, keys, **given)
+    except ValueError as e:
+        return named.select(F.lit("scan_error").alias("kind"), "job", "instruments", *tag, F.lit(f"compute_error: {e}").alias("error"))
     head = scan.head(rows, keys) if scan.head else rows
     metric = F.col(scan.value).cast("double")
     spans = data.groupBy(*keys).agg(F.min("ts_ms").alias("start_ms"), (F.max("ts_ms") + step_of(r.timeframe)).alias("end_ms"))
-    out = head.join(spans, keys)
+    # one row a result, a stretch without one, an instrument without bars, and a refused instrument
+    out = named.join(spans, own, "left").join(refused.select(*own, "n_gaps"), own, "left").join(head.withColumn("found", F.lit(True)), keys, "left")
     p = F.col(scan.p) if scan.p else F.lit(None).cast("double")
     low = high = F.lit(None).cast("double")
     if r.bootstrap or r.null:
         cols, stat, tail = hygiene.statistic(scan.id, given)
-        if scan.arity == 1:
+        if not pair:
             s, cols = series(data, keys, *cols), ("x",)
         else:
             s = cross.pair_returns(data, keys) if cols == ("ra", "rb") else indexed(data, keys)
@@ -108,12 +126,15 @@ def run(minute_bars: DataFrame, r: ScanRequest) -> DataFrame:
             out, p = out.join(null, keys, "left"), F.coalesce("null_p", p)
     extra = F.to_json(F.struct(*[c for c in head.columns if c not in keys]))
     n = F.col(scan.n).cast("long") if scan.n and scan.n in head.columns else F.lit(None).cast("long")
-    results = out.select(
-        F.lit("result").alias("kind"), *[F.lit(v).alias(k) for k, v in base.items()], F.col("segment").cast("int").alias("segment"), "start_ms", "end_ms", F.lit(scan.value).alias("metric"), metric.alias("value"),
-        p.alias("p_value"), n.alias("n"), low.alias("ci_low"), high.alias("ci_high"), extra.alias("extra"),
+    found, refuse, bare = F.col("found").isNotNull(), F.col("n_gaps").isNotNull(), F.col("segment").isNull()
+    empty = F.lit(scan.empty is not None) & ~found
+    kind = F.when(refuse, "gap_aborted").when(bare, "scan_error").when(found | empty, "result").otherwise("scan_error")
+    error = F.when(refuse | found, None).when(bare, "coverage_gap: no bars in the window").when(~empty, "compute_error: too few values, or all alike")
+    return out.select(
+        kind.alias("kind"), "job", "instruments", *tag, F.col("segment").cast("int").alias("segment"), "start_ms", "end_ms", F.when(~bare, F.lit(scan.value)).alias("metric"),
+        F.when(found, metric).when(empty & ~bare, F.lit(scan.empty).cast("double")).alias("value"), p.alias("p_value"), F.when(refuse, F.col("n_gaps").cast("long")).otherwise(n).alias("n"),
+        low.alias("ci_low"), high.alias("ci_high"), F.when(found, extra).alias("extra"), error.alias("error"),
     )
-    stopped = refused.select(F.lit("gap_aborted").alias("kind"), *[F.lit(v).alias(k) for k, v in base.items()], F.col("n_gaps").cast("long").alias("n"))
-    return results.unionByName(stopped, allowMissingColumns=True)
 
 
 @dataclass(frozen=True)
@@ -160,14 +181,26 @@ def parse_sweep(text: str, seed: int | None = None, bootstrap: str | None = None
     return Sweep(jobs, fdr.get("family", "scan_id"), fdr.get("alpha", 0.05))
 
 
+def together(jobs: list[ScanRequest]) -> list[list[ScanRequest]]:
+    """Jobs that can share a plan: one scan, timeframe, window, policy and parameters, one instrument each, not resampled."""
+    out: dict = {}
+    for i, j in enumerate(jobs):
+        alone = len(j.instruments) != 1 or j.bootstrap or j.null
+        key = i if alone else (j.scan, j.timeframe, j.window, j.gap_policy, param_hash(j.params), j.dry_run)
+        while not alone and j.instruments in {o.instruments for o in out.get(key, ())}:  # a job given twice
+            key = (*key, "again")
+        out.setdefault(key, []).append(j)
+    return list(out.values())
+
+
 def run_sweep(minute_bars: DataFrame, sweep: Sweep) -> DataFrame:
     """All jobs' findings, with fdr_q within each family."""
-    out = None
-    for job in sweep.jobs:
-        one = run(minute_bars, replace(job))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+    parts = [run_together(minute_bars, jobs) for jobs in together(sweep.jobs)]
+    if not parts:
         return minute_bars.sparkSession.createDataFrame([], FINDING + ", fdr_q double")
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one, allowMissingColumns=True)
     family = hygiene.family_of(F.col("scan"), sweep.family)
     if family is None:
         return out.withColumn("fdr_q", F.lit(None).cast("double"))

@@ -136,8 +136,10 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("symbol", "ts_ms").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.count("*").cast("double").alias("tick_volume"))
 
 
-START, END = JAN1, JAN1 + 10 * DAY
-MISSING = f"""m AS (SELECT ms FROM (SELECT ms, to_timestamp(ms / 1000)::DATE AS d FROM (SELECT unnest(range({START}, {END}, {MINUTE})) AS ms)) WHERE {IS_OPEN}),
+#: The days of all events, from the first to the last.
+START, END = "(SELECT lo FROM span)", "(SELECT hi FROM span)"
+SPAN = f"span AS (SELECT epoch_ms(min(ts)::TIMESTAMP) // {DAY} * {DAY} AS lo, (epoch_ms(max(ts)::TIMESTAMP) // {DAY} + 1) * {DAY} AS hi FROM events)"
+MISSING = f"""{SPAN}, m AS (SELECT ms FROM (SELECT ms, to_timestamp(ms / 1000)::DATE AS d FROM (SELECT unnest(range({START}, {END}, {MINUTE})) AS ms)) WHERE {IS_OPEN}),
 h AS (SELECT DISTINCT epoch_ms(ts::TIMESTAMP) // {MINUTE} * {MINUTE} AS ms FROM events),
 day AS (SELECT DISTINCT ms // {DAY} AS d FROM m), full_day AS (SELECT d FROM day WHERE d NOT IN (SELECT ms // {DAY} FROM h)),
 gap AS (SELECT d * {DAY} AS start_ms, (d + 1) * {DAY} AS end_ms, 0 AS reason FROM full_day UNION ALL
@@ -148,8 +150,17 @@ run AS (SELECT min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM i GROUP BY
 eff AS (SELECT start_ms, end_ms, reason FROM gap WHERE reason < 2 UNION ALL SELECT * FROM (SELECT -(-start_ms // {5 * MINUTE}) * {5 * MINUTE} AS start_ms, end_ms // {5 * MINUTE} * {5 * MINUTE} AS end_ms, 2 AS reason FROM (SELECT start_ms + {5 * MINUTE} - 1 AS start_ms, end_ms FROM run)) WHERE start_ms < end_ms)""".replace(f"-(-start_ms // {5 * MINUTE}) * {5 * MINUTE} AS start_ms", f"start_ms // {5 * MINUTE} * {5 * MINUTE} AS start_ms")
 
 
+def _days(spark, sf_dir) -> tuple[int, int]:
+    """The window that SPAN names: one row comes to the driver."""
+    from tickloom.functions.series import epoch_ms
+
+    ts = epoch_ms(F.col("ts"))
+    lo, hi = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(ts), F.max(ts)).first()
+    return (JAN1, JAN1) if lo is None else (lo // DAY * DAY, (hi // DAY + 1) * DAY)
+
+
 def _detected(spark, sf_dir):
-    return gaps.detect(minute_bars(spark, sf_dir), K, START, END)
+    return gaps.detect(minute_bars(spark, sf_dir), K, *_days(spark, sf_dir))
 
 
 def _effective(spark, sf_dir):
@@ -158,12 +169,12 @@ def _effective(spark, sf_dir):
 
 def _segments(spark, sf_dir):
     who = minute_bars(spark, sf_dir).select("symbol").distinct()
-    return gaps.segments(_effective(spark, sf_dir), K, who, START, END, "5m")
+    return gaps.segments(_effective(spark, sf_dir), K, who, *_days(spark, sf_dir), "5m")
 
 
 def _pair_gaps(spark, sf_dir):
     b = event_bars(spark, sf_dir, "5m").filter("symbol IN ('click', 'view')")
-    minutes = spark.range(START, END, 5 * MINUTE).select(F.col("id").alias("ts_ms")).filter(is_open(F.col("ts_ms")))
+    minutes = spark.range(*_days(spark, sf_dir), 5 * MINUTE).select(F.col("id").alias("ts_ms")).filter(is_open(F.col("ts_ms")))
     who = b.select("symbol").distinct()
     missing = who.crossJoin(F.broadcast(minutes)).join(b.select("symbol", "ts_ms"), ["symbol", "ts_ms"], "left_anti")
     legs = missing.select(F.lit("click/view").alias("pair"), "symbol", F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 5 * MINUTE).alias("end_ms"), F.lit(2).alias("reason"))
@@ -269,7 +280,7 @@ z AS (SELECT *, coef / sqrt(greatest(syy - coef * sxy, 0) / (m - 2) / sxx) AS t
     ll = f"WITH {PAIR}, g AS (SELECT count(*) AS n, avg(ra) AS ma, avg(rb) AS mb, stddev_pop(ra) AS sa, stddev_pop(rb) AS sb FROM q), c AS (SELECT x.pair, any_value(n) AS n, CAST(k.lag AS INT) AS lag, avg((x.ra - ma) * (y.rb - mb)) / (any_value(sa) * any_value(sb)) AS ccf FROM q x, g, (SELECT unnest(range(-20, 21)) AS lag) k, q y WHERE y.i = x.i + k.lag GROUP BY x.pair, k.lag) SELECT pair, n, lag, {rr('ccf', 'ccf')}, row_number() OVER (ORDER BY abs(ccf) DESC, lag) = 1 AS best FROM c"
     out["lead_lag"] = (_on_pair(cross.lead_lag, 20), ll)
     out["engle_granger"] = (_on_pair(cross.engle_granger), EG.format(head=f"WITH {PAIR}", k="pair", p="p") + f" SELECT pair, n, {_n('hedge_ratio', 'alpha', 'adf_stat', 'ou_half_life', 'residual_std', 'adf_p')} FROM u")
-    head = f"WITH {PAIR}, w AS (SELECT p.pair, CAST(k.j AS BIGINT) AS window_index, p.i, p.ts_ms, p.a, p.b FROM p, (SELECT unnest(range(0, (SELECT (count(*) - 60) // 20 + 1 FROM p))) AS j) k WHERE p.i >= k.j * 20 AND p.i < k.j * 20 + 60)"
+    head = f"WITH {PAIR}, w AS (SELECT p.pair, CAST(k.j AS BIGINT) AS window_index, p.i, p.ts_ms, p.a, p.b FROM p, (SELECT unnest(range(0, (SELECT CASE WHEN count(*) < 60 THEN 0 ELSE (count(*) - 60) // 20 + 1 END FROM p))) AS j) k WHERE p.i >= k.j * 20 AND p.i < k.j * 20 + 60)"
     cr = EG.format(head=head, k="pair, window_index", p="w") + f""", n AS (SELECT pair, window_index, min(ts_ms) AS window_start_ms, max(ts_ms) AS window_end_ms FROM w GROUP BY ALL),
 c AS (SELECT u.*, coalesce(max((adf_p < 0.05)::INT) OVER (ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was, median(abs(hedge_ratio)) OVER (ORDER BY window_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mid, count(*) OVER (ORDER BY window_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS held FROM u)
 SELECT pair, window_index, n, {_n('hedge_ratio', 'alpha', 'adf_stat', 'ou_half_life', 'residual_std', 'adf_p')}, window_start_ms, window_end_ms, (was = 1 AND adf_p > 0.1)::INT + 2 * coalesce((held >= 5 AND mid > 1e-9 AND (abs(hedge_ratio) > mid * 1.25 OR abs(hedge_ratio) < mid * 0.75))::INT, 0) AS reason_code FROM c JOIN n USING (pair, window_index)"""
@@ -303,8 +314,8 @@ FROM hit JOIN n USING (symbol) JOIN s ON s.symbol = hit.symbol AND s.i >= hit.i
 mr AS (SELECT min(start_ms) AS a, max(end_ms) AS z FROM mi GROUP BY island UNION ALL SELECT {END}, {END}), sg AS (SELECT coalesce(lag(z) OVER (ORDER BY a, z), {START}) AS f, a AS t FROM mr)
 SELECT 'ALL' AS symbol, CAST(row_number() OVER (ORDER BY f) AS INT) AS segment, f AS start_ms, t AS end_ms FROM (SELECT (f + {5 * MINUTE} - 1) // {5 * MINUTE} * {5 * MINUTE} AS f, t // {5 * MINUTE} * {5 * MINUTE} AS t FROM sg) WHERE f < t"""
     out["gap_segments_5m"] = (_segments, seg)
-    out["gap_strict"] = (lambda s, d: gaps.aborted(_effective(s, d), K, START, END), f"WITH {RUNS} SELECT 'ALL' AS symbol, count(*) AS n_gaps FROM eff WHERE end_ms > {START} AND start_ms < {END} HAVING count(*) > 0")
-    pg = f"""WITH b AS ({_bars('events', 5 * MINUTE)}), m AS (SELECT ms FROM (SELECT ms, to_timestamp(ms / 1000)::DATE AS d FROM (SELECT unnest(range({START}, {END}, {5 * MINUTE})) AS ms)) WHERE {IS_OPEN}),
+    out["gap_strict"] = (lambda s, d: gaps.aborted(_effective(s, d), K, *_days(s, d)), f"WITH {RUNS} SELECT 'ALL' AS symbol, count(*) AS n_gaps FROM eff WHERE end_ms > {START} AND start_ms < {END} HAVING count(*) > 0")
+    pg = f"""WITH {SPAN}, b AS ({_bars('events', 5 * MINUTE)}), m AS (SELECT ms FROM (SELECT ms, to_timestamp(ms / 1000)::DATE AS d FROM (SELECT unnest(range({START}, {END}, {5 * MINUTE})) AS ms)) WHERE {IS_OPEN}),
 g AS (SELECT ms AS a, ms + {5 * MINUTE} AS z FROM m, (SELECT unnest(['click', 'view']) AS symbol) s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = s.symbol AND b.ts_ms = m.ms)),
 i AS (SELECT *, sum(CASE WHEN a <= reach THEN 0 ELSE 1 END) OVER (ORDER BY a, z) AS island FROM (SELECT DISTINCT a, z, max(z) OVER (ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT a, z FROM g)))
 SELECT 'click/view' AS pair, min(a) AS start_ms, max(z) AS end_ms, 2 AS reason FROM i GROUP BY island"""
