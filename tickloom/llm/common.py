@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,14 +18,16 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or else the one given to setCheckpointDir; an error if there is neither,
-    as a folder of this machine would not be seen by other executors."""
+    """The folder named in spark.checkpoint.dir, or else the one given to setCheckpointDir. Where there is neither, a
+    session of one process (tests) gets a folder of its own; on a cluster that is an error, as executors would not see it."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get().rstrip("/")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tickloom-')}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
