@@ -394,3 +394,74 @@ def test_licences_by_hand(spark):
     d = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
     got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in licenses.scan(d).collect()}
     assert got == {0: ("MIT", "MIT", None), 1: (None, "GPL-3.0", "a/b"), 2: ("Apache-2.0", "Apache-2.0", None), 3: (None, None, None), 4: (None, None, None), 5: ("MIT", "MIT", None), 6: ("GPL-3.0", "GPL-3.0", None), 7: (None, "GPL-3.0", "a/b")}
+
+
+def test_licences_of_wrapped_headers_whole_files_and_long_lines(spark):
+    import textwrap
+
+    wrap = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(t, 70))
+    rng = np.random.default_rng(3)
+    long = prose(rng, 150_000) + " Released under the MIT License."
+    rows = [
+        ("p/x.c", wrap(licenses.APACHE, " * ") + "\n\nint main() { return 0; }\n" * 50), ("q/COPYING.txt", "Copyright (c) 2020 Somebody\n\n" + wrap(licenses.ISC)), ("q/sub/a.c", "code"), ("r/terms.md", wrap(licenses.MIT)), ("r/b.c", None),
+        ("s/two.txt", "Notes on gardens and their many visitors in spring and summer.\nReleased under the MIT License."), ("s/c.c", "code"), ("t/long.txt", long), ("u/y.c", "// SPDX-License-Identifier: LGPL-2.1\ncode"), ("v/z.c", wrap(licenses._gnu("Affero General Public License", "3"), "# ")),
+        ("w/b.txt", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ]
+    d = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = [(r.own_license, r.license, r.inherited_from) for r in licenses.scan(d).orderBy("doc_id").collect()]
+    assert got == [
+        ("Apache-2.0", "Apache-2.0", None), ("ISC", "ISC", None), (None, "ISC", "q"), ("MIT", "MIT", None), (None, "MIT", "r"), ("MIT", "MIT", None), (None, None, None),
+        (None, None, None), ("LGPL-2.1", "LGPL-2.1", None), ("AGPL-3.0", "AGPL-3.0", None), ("CC-BY-SA-4.0", "CC-BY-SA-4.0", None),
+    ]
+
+
+def test_secrets_of_long_texts(spark):
+    import random
+
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    one, many = "".join(r.choices(letters, k=200_000)), " ".join("".join(r.choices("0123456789abcdef", k=16)) for _ in range(20_000))
+    d = spark.createDataFrame([(0, one), (1, many)], "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.digest(d).collect()}
+    assert got[0].spans == "entropy:0:200000" and got[1].n_hex == 20_000 and got[1].spans.endswith(f"hex:{17 * 19_999}:{17 * 20_000 - 1}")
+    left = {x.doc_id: x.text for x in secrets.cleaned(d).collect()}
+    assert left[0] == "[SECRET]" and left[1] == " ".join(["[SECRET]"] * 20_000)
+
+
+def test_words_end_at_the_six_white_characters_only(spark):
+    texts = ["abc  ", "abc \u0085", "abc  ", " a\x0bb\x0cc ", "", "\n", " ", "x\r\n"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r[0] for r in d.orderBy("doc_id").select(mixing.words(F.col("text"))).collect()] == [len(t.encode().split()) for t in texts]
+
+
+def test_phrases_over_stretches_are_those_of_the_whole_text(monkeypatch):
+    rng = np.random.default_rng(6)
+    samples = {"en": prose(rng, 800), "de": prose(rng, 800, DE)}
+    texts = [prose(rng, n, w) for n in (3, 50, 700) for w in (WORDS, DE)] + [samples["en"], samples["de"] * 3]
+    m, got = langid.build(samples), []
+    for n in (1 << 20, 512, 7):
+        monkeypatch.setattr(langid, "STRETCH", n)
+        got.append(langid.parse(m, texts))
+    assert got[0] == got[1] == got[2] and got[0][0] == ["en", "de"] * 4
+
+
+def test_near_copies_without_a_hub(spark):
+    """A group whose members are all near a text that is not there, some linked with each other and some with none."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words, n = list(base), int(rng.integers(1, 14))
+        for at in rng.choice(120, n, replace=False):
+            words[at] = f"e{rng.integers(0, 400)}"
+        rows.append((i, " ".join(words)))
+    want = components_by_brute_force(rows, 2, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_one_row_of_each_group_is_kept_without_and_with_repeated_ids(spark):
+    t = prose(np.random.default_rng(12), 60)
+    rows = [(None, t), (None, t), (7, t), (7, t), (5, t + " tail"), (9, None), (9, None), (None, "alone here with five words")]
+    got = minhash.kept(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row long"), 5, 80)
+    assert got.columns == ["doc_id", "text", "row"] and sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(5, t + " tail"), (9, None), (9, None), (None, "alone here with five words")]))
