@@ -465,3 +465,24 @@ def test_one_row_of_each_group_is_kept_without_and_with_repeated_ids(spark):
     rows = [(None, t), (None, t), (7, t), (7, t), (5, t + " tail"), (9, None), (9, None), (None, "alone here with five words")]
     got = minhash.kept(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row long"), 5, 80)
     assert got.columns == ["doc_id", "text", "row"] and sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(5, t + " tail"), (9, None), (9, None), (None, "alone here with five words")]))
+
+
+def test_bpe_digest_and_simhash_query_by_brute_force(spark, tables, docs, edges):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for table in (docs, edges):
+        texts = {r.doc_id: r.text or "" for r in table.collect()}
+        got = {r.doc_id: r for r in bpe.digest(table).collect()}
+        for i, text in texts.items():
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+    got = queries.op4_simhash(spark, tables).collect()
+    all_of = [(r.fingerprint, r.doc_id) for r in got]
+    for r in got:
+        if r.doc_id % 100:
+            assert r.near_classes is None and r.near_docs is None
+        else:
+            close = [f for f, _ in all_of if (int(f, 16) ^ int(r.fingerprint, 16)).bit_count() <= 3]
+            assert (r.near_classes, r.near_docs) == (len(set(close)), len(close))

@@ -5,7 +5,7 @@ fewer than two words votes with its 3-grams of characters. 128 bits; ties give 0
 
 Defined cases: a null text counts as empty and has the fingerprint 0; null doc_ids come last; rows with one doc_id
 follow each other in the order of their texts; a single row is its own next document; repeated rows give repeated
-results; an empty table gives an empty result; other columns are ignored.
+results; an empty table gives an empty result; other columns are ignored; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -134,14 +134,12 @@ def against_next(docs: DataFrame) -> DataFrame:
     return done.filter("kind = 0").select(*_NAMES).unionByName(edges.mapInArrow(_at_edges, RESULT))
 
 
-def within(fps: DataFrame, queries: DataFrame, radius: int = 3, spare: int = 1) -> DataFrame:
-    """(query_id, doc_id, distance) for all pairs of fingerprints at most `radius` bits apart.
+def near(fps: DataFrame, queries: DataFrame, radius: int = 3, spare: int = 1) -> DataFrame:
+    """(q, fingerprint, distance) for all pairs of distinct fingerprints of queries and of fps at most `radius` bits apart.
 
     The bits form radius + spare blocks. Two fingerprints within the radius agree in `spare` blocks at least, so one
     table for each choice of `spare` blocks (a permutation that puts these first) finds every pair by an equality of
-    keys. Equal fingerprints meet as one class, so large groups of copies cost one row.
-
-    fps and queries: doc_id and fingerprint.
+    keys. Equal fingerprints are one class, so large groups of copies cost one row.
     """
     k = radius + spare
     edge = [round(i * BITS / 4 / k) for i in range(k + 1)]  # in hex digits
@@ -156,6 +154,23 @@ def within(fps: DataFrame, queries: DataFrame, radius: int = 3, spare: int = 1)
     apart = sum((F.bit_count(number(F.col("fingerprint"), i).bitwiseXOR(number(F.col("q"), i))) for i in range(BITS // 32)), F.lit(0))
     mine, theirs = fps.select("fingerprint").distinct(), queries.select("fingerprint").distinct()
     pairs = keyed(mine).join(keyed(theirs).withColumnRenamed("fingerprint", "q"), "key").select("fingerprint", "q").distinct()
-    near = pairs.withColumn("distance", apart).filter(F.col("distance") <= radius)
-    found = near.join(queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q")), "q")
+    return pairs.withColumn("distance", apart.cast("int")).filter(F.col("distance") <= radius)
+
+
+def within(fps: DataFrame, queries: DataFrame, radius: int = 3, spare: int = 1) -> DataFrame:
+    """(query_id, doc_id, distance) for all pairs of documents whose fingerprints are at most `radius` bits apart: near()
+    with the classes' members written out. fps and queries: doc_id and fingerprint."""
+    found = near(fps, queries, radius, spare).join(queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q")), "q")
     return found.join(fps.select("doc_id", "fingerprint"), "fingerprint").select("query_id", "doc_id", "distance")
+
+
+def digest(docs: DataFrame, radius: int = 3, spare: int = 1) -> DataFrame:
+    """against_next(), and for each document whose doc_id is divisible by 100 (null otherwise) near_classes and near_docs:
+    the distinct fingerprints within `radius` bits of its own, which counts, and the documents that have them."""
+    got = cut(against_next(docs), "simhash-rows")
+    asked = got.filter("doc_id % 100 = 0")
+    size = got.groupBy("fingerprint").agg(F.count("*").alias("docs"))
+    per = near(got, asked, radius, spare).join(size, "fingerprint").groupBy(F.col("q").alias("fingerprint")).agg(F.count("*").alias("near_classes"), F.sum("docs").alias("near_docs"))
+    none = F.lit(None).cast("long")
+    rest = got.filter("doc_id IS NULL OR doc_id % 100 <> 0").select(*_NAMES, none.alias("near_classes"), none.alias("near_docs"))
+    return rest.unionByName(asked.join(per, "fingerprint").select(*_NAMES, "near_classes", "near_docs"))
