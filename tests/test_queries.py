@@ -48,6 +48,7 @@ def bucket_ends(tables, tmp_path_factory):
 BUCKET_ENDS = [
     "adf_lag0",
     "fdr_benjamini_hochberg",
+    "jarque_bera",
 ]
 
 
