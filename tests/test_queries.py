@@ -49,6 +49,7 @@ BUCKET_ENDS = [
     "adf_lag0",
     "fdr_benjamini_hochberg",
     "jarque_bera",
+    "ljung_box",
 ]
 
 
