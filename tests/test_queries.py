@@ -50,6 +50,7 @@ BUCKET_ENDS = [
     "fdr_benjamini_hochberg",
     "jarque_bera",
     "ljung_box",
+    "ljung_box_sq",
 ]
 
 
