@@ -51,6 +51,7 @@ BUCKET_ENDS = [
     "jarque_bera",
     "ljung_box",
     "ljung_box_sq",
+    "ou_halflife",
 ]
 
 
