@@ -52,6 +52,7 @@ BUCKET_ENDS = [
     "ljung_box",
     "ljung_box_sq",
     "ou_halflife",
+    "outliers",
 ]
 
 
