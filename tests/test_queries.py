@@ -53,6 +53,7 @@ BUCKET_ENDS = [
     "ljung_box_sq",
     "ou_halflife",
     "outliers",
+    "resample_10m",
 ]
 
 
