@@ -54,6 +54,7 @@ BUCKET_ENDS = [
     "ou_halflife",
     "outliers",
     "resample_10m",
+    "resample_15m",
 ]
 
 
