@@ -55,6 +55,7 @@ BUCKET_ENDS = [
     "outliers",
     "resample_10m",
     "resample_15m",
+    "resample_1h",
 ]
 
 
