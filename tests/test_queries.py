@@ -56,6 +56,7 @@ BUCKET_ENDS = [
     "resample_10m",
     "resample_15m",
     "resample_1h",
+    "resample_5m",
 ]
 
 
