@@ -57,6 +57,7 @@ BUCKET_ENDS = [
     "resample_15m",
     "resample_1h",
     "resample_5m",
+    "seas_day_of_week",
 ]
 
 
