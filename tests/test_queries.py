@@ -58,6 +58,7 @@ BUCKET_ENDS = [
     "resample_1h",
     "resample_5m",
     "seas_day_of_week",
+    "seas_hour_of_day",
 ]
 
 
