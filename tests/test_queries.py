@@ -59,6 +59,7 @@ BUCKET_ENDS = [
     "resample_5m",
     "seas_day_of_week",
     "seas_hour_of_day",
+    "seas_session",
 ]
 
 
