@@ -72,6 +72,13 @@ def test_token_files_hold_the_librarys_ids(docs, edges):
         start += len(ids)
 
 
+def test_one_task_writes_the_table_of_token_files(docs):
+    files = tokenfile.write(docs, tokenfile.scratch(docs.sparkSession, "ids"))
+    rows = files.orderBy("part", "seq").collect()
+    assert len({r.part for r in rows}) > 1 and len(files.inputFiles()) == 1
+    assert [r.start for r in rows] == [sum(x.n_ids for x in rows[:i]) for i in range(len(rows))]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 65536, 70001])
 def test_planes_round_trip(bits, n):

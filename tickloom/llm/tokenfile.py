@@ -181,9 +181,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
             yield flush()
 
     t = texts(docs).repartitionByRange(4 * partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = cut(t.mapInArrow(run, "uri string, part int, seq int, n_docs long, n_ids long"), "token-files")
+    files = t.mapInArrow(run, "uri string, part int, seq int, n_docs long, n_ids long")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # one task writes the table: Hadoop's local file system starts a process for each file, and such a process counts
+    # as another copy of its executor until it becomes chmod
+    return cut(files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def read(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(r.docs, pa.int64()), pa.array(start + at[:-1]), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.select("uri", "start").repartition(4 * partitions(files.sparkSession))
+    rows = files.select("uri", "start").repartition(partitions(files.sparkSession))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
