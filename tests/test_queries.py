@@ -84,3 +84,43 @@ def test_stream_of_ticks_at_the_end_of_a_bucket(spark, bucket_ends, tmp_path):
     q.stop()
     got = sorted((r.event_type, r.ts_ms, r.open, r.close, r.tick_volume) for r in spark.sql("SELECT * FROM end_bars").collect())
     assert got == sorted((r.symbol, r.ts_ms, r.open, r.close, r.tick_volume) for r in plans.event_bars(spark, bucket_ends).collect())
+
+
+@pytest.fixture(scope="module")
+def no_prices(tables, tmp_path_factory):
+    """A folder whose events also have ticks without a price, a microsecond before and after each of the others."""
+    import duckdb
+
+    d = str(tmp_path_factory.mktemp("no_prices"))
+    none = " UNION ALL ".join(f"SELECT event_id * 10 + {k}, ts + to_microseconds({us}), user_id, event_type, NULL, props FROM e" for k, us in ((1, -1), (2, 1)))
+    duckdb.sql(f"COPY (WITH e AS (SELECT * FROM '{tables}/events.parquet') SELECT event_id * 10 AS event_id, ts, user_id, event_type, value, props FROM e UNION ALL {none}) TO '{d}/events.parquet' (FORMAT PARQUET)")
+    return d
+
+
+NO_PRICES = [
+    "jarque_bera",
+]
+
+
+@pytest.mark.parametrize("name", NO_PRICES)
+def test_ticks_without_a_price(spark, no_prices, name):
+    import pyarrow.parquet as pq
+
+    assert of_spark(QUERIES[name](spark, no_prices)) == of_duckdb(SQL[name], views={"events": pq.read_table(f"{no_prices}/events.parquet")})
+
+
+def test_stream_of_ticks_without_a_price(spark, no_prices, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tickloom.streaming.resample import bars_of_stream
+
+    src = spark.read.parquet(f"{no_prices}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    end = spark.createDataFrame([(None, None, None, "zzz", 1.0, None)], src.schema).withColumn("ts", F.lit("2030-01-01").cast("timestamp"))
+    src.unionByName(end).repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    q = bars_of_stream(stream, "1h", ["event_type"], "ts", "value", "event_id").writeStream.outputMode("append").format("memory").queryName("no_prices").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.event_type, r.ts_ms, r.open, r.close, r.tick_volume) for r in spark.sql("SELECT * FROM no_prices").collect())
+    assert got and None not in {x for r in got for x in r}
+    assert got == sorted((r.symbol, r.ts_ms, r.open, r.close, r.tick_volume) for r in plans.event_bars(spark, no_prices).collect())

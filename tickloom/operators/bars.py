@@ -21,11 +21,12 @@ def up_to(bars: DataFrame, ts_ms: int) -> DataFrame:
 
 def resample(bars: DataFrame, timeframe: str, keys: list[str]) -> DataFrame:
     """Coarser bars: first open, highest high, lowest low, last close, summed volume; none for empty buckets; the last
-    bucket is kept even if partial. One aggregation, which adds up within tasks before it moves rows."""
+    bucket is kept even if partial; null opens and closes count only if a bucket has no other. One aggregation, which adds up within tasks before it moves rows."""
     step = step_of(timeframe)
     b = bars.withColumn("bucket", align_down(F.col("ts_ms"), step))
     out = b.groupBy(*keys, "bucket").agg(
-        F.min_by("open", "ts_ms").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts_ms").alias("close"), F.sum("tick_volume").alias("tick_volume"),
+        F.min_by("open", F.when(F.col("open").isNotNull(), F.col("ts_ms"))).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts_ms"))).alias("close"), F.sum("tick_volume").alias("tick_volume"),
     )
     return out.withColumnRenamed("bucket", "ts_ms").withColumn("ts_close_ms", F.col("ts_ms") + step)
 

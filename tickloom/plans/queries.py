@@ -132,8 +132,8 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("symbol", F.lit("ALL"))
     from tickloom.functions.series import align_down, epoch_ms
 
-    b = e.select("symbol", align_down(epoch_ms(F.col("ts")), MINUTE).alias("ts_ms"), F.col("value").alias("p"), F.struct("ts", "event_id").alias("o"))
-    return b.groupBy("symbol", "ts_ms").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.count("*").cast("double").alias("tick_volume"))
+    b = e.select("symbol", align_down(epoch_ms(F.col("ts")), MINUTE).alias("ts_ms"), F.col("value").alias("p"), F.when(F.col("value").isNotNull(), F.struct("ts", "event_id")).alias("o"))
+    return b.groupBy("symbol", "ts_ms").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.count("p").cast("double").alias("tick_volume"))
 
 
 #: The days of all events, from the first to the last.

@@ -14,8 +14,8 @@ def bars_of_stream(ticks: DataFrame, timeframe: str, keys: list[str], ts: str, p
     ts is a timestamp. State holds one row a key and open bucket. Buckets begin half a millisecond early, as moments of
     ticks are rounded to milliseconds.
     """
-    order = F.struct(F.col(ts), F.col(tie))
     p = F.col(price).cast("double")
+    order = F.when(p.isNotNull(), F.struct(F.col(ts), F.col(tie)))
     b = ticks.withWatermark(ts, late).groupBy(*keys, F.window(ts, f"{step_of(timeframe) // 1000} seconds", startTime="-500 microseconds").alias("w")).agg(
         F.min_by(p, order).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, order).alias("close"), F.count(p).cast("double").alias("tick_volume"),
     )
