@@ -99,6 +99,7 @@ def no_prices(tables, tmp_path_factory):
 
 NO_PRICES = [
     "jarque_bera",
+    "ljung_box",
 ]
 
 
