@@ -100,6 +100,7 @@ def no_prices(tables, tmp_path_factory):
 NO_PRICES = [
     "jarque_bera",
     "ljung_box",
+    "ljung_box_sq",
 ]
 
 
