@@ -101,6 +101,7 @@ NO_PRICES = [
     "jarque_bera",
     "ljung_box",
     "ljung_box_sq",
+    "ou_halflife",
 ]
 
 
