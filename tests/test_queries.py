@@ -102,6 +102,7 @@ NO_PRICES = [
     "ljung_box",
     "ljung_box_sq",
     "ou_halflife",
+    "outliers",
 ]
 
 
