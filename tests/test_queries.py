@@ -103,6 +103,7 @@ NO_PRICES = [
     "ljung_box_sq",
     "ou_halflife",
     "outliers",
+    "resample_10m",
 ]
 
 
