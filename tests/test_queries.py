@@ -104,6 +104,7 @@ NO_PRICES = [
     "ou_halflife",
     "outliers",
     "resample_10m",
+    "resample_15m",
 ]
 
 
