@@ -105,6 +105,7 @@ NO_PRICES = [
     "outliers",
     "resample_10m",
     "resample_15m",
+    "resample_1h",
 ]
 
 
