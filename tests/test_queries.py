@@ -106,6 +106,7 @@ NO_PRICES = [
     "resample_10m",
     "resample_15m",
     "resample_1h",
+    "resample_5m",
 ]
 
 
