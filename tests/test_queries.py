@@ -107,6 +107,7 @@ NO_PRICES = [
     "resample_15m",
     "resample_1h",
     "resample_5m",
+    "seas_day_of_week",
 ]
 
 
