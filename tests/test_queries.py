@@ -108,6 +108,7 @@ NO_PRICES = [
     "resample_1h",
     "resample_5m",
     "seas_day_of_week",
+    "seas_hour_of_day",
 ]
 
 
