@@ -393,6 +393,38 @@ def test_bpe_is_the_librarys(docs, edges):
     assert {r.doc_id: r.text for r in bpe.decoded(rows).collect()}[3] == "one</w>"
 
 
+def test_known_chunks_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 100_000
+    words = bpe.Words(lambda new: (np.ones(2 * len(new), np.uint32), np.full(len(new), 2)), 1 << 30)
+    tracemalloc.start()
+    try:
+        before = pa.total_allocated_bytes()
+        for i in range(0, n, 10_000):
+            flat, sizes = words.ids(pa.array([" ".join(f"word{j}" for j in range(i, i + 10_000))]))
+            assert (len(flat), sizes.tolist()) == (20_000, [20_000])
+        del flat, sizes
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 80 * n
+
+
+def test_memory_goes_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from tickloom.llm import common
+
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("back"))
+    for b in common.rows_of(common.lean(iter([pa.record_batch([[i, i]], ["x"]) for i in range(2)])), 8):
+        told.append(b["x"].to_pylist())
+    assert told == [[0], [0], "back", [1], [1], "back"]
+
+
 def test_licences_by_hand(spark):
     rows = [
         ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."), ("a/b/x.py", "import os"), ("a/b/c/y.py", "Licensed under the Apache License, Version 2.0.\ncode\nmore code"),

@@ -27,11 +27,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import only, rows_of, texts, worker_cache
+from tickloom.llm.common import lean, only, rows_of, texts, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes, about, of the chunks and ids that a worker keeps.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 48 << 20
+#: New chunks encoded together.
+PART = 10_000
+#: Bytes of text handled together.
+PIECE_BYTES = 1 << 20
 _loaded: dict[str, object] = worker_cache()
 
 
@@ -44,40 +48,40 @@ def byte_letters() -> list[str]:
 
 class Words:
     """Ids of the chunks of texts that a space or line feed ends. The ids of known chunks lie one after another in one
-    array; what is new in a batch is encoded together. Over `most` bytes, only what the current batch has stays."""
+    array, and the chunks themselves in an Arrow array, as objects of Python's would take several times as much; what is
+    new in a batch is encoded together. Over `most` bytes, only what the current batch has stays."""
 
     def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = KEPT_BYTES):
         """encode_new: chunks -> (all their ids, number of ids of each)."""
         self.encode_new, self.most = encode_new, most
-        self.at: dict[str, int] = {}
+        self.chunks = pa.array([], pa.string())
         self.flat, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
     def ids(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch's texts (null: empty), and the number of ids of each."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(batch, ""), "\n", " "), " ")
         found = pc.dictionary_encode(split.flatten())
-        chunks = found.dictionary.to_pylist()
-        place = self.places(chunks)
+        place = self.places(found.dictionary)
         flat, each = self.of(place[found.indices.to_numpy(zero_copy_only=False)])
         ends = np.concatenate([[0], np.cumsum(each)])
         last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
         return flat, np.diff(ends[np.concatenate([[0], last])])
 
-    def places(self, chunks: list[str]) -> np.ndarray:
+    def places(self, chunks: pa.Array) -> np.ndarray:
         """Where each of the chunks (distinct) is; unknown ones are encoded first. Holds until the next call."""
-        get = self.at.get
-        place = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        if len(fresh := np.flatnonzero(place < 0).tolist()):
-            new = [chunks[i] for i in fresh]
-            if self.used + _size(new) > self.most and self.at:
+        chunks = chunks.cast(pa.string())
+        place = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(fresh := np.flatnonzero(place < 0)):
+            new = chunks.take(pa.array(fresh))
+            if self.used + _size(new) > self.most and len(self.chunks):
                 stay = np.flatnonzero(place >= 0)
                 flat, sizes = self.of(place[stay])
-                self.at, self.used = {}, 0
+                self.chunks, self.used = self.chunks[:0], 0
                 self.start[0] = 0
-                place[stay] = self._add([chunks[i] for i in stay.tolist()], flat, sizes)
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
-                place[fresh[i : i + 50_000]] = self._add(part, *self.encode_new(part))
+                place[stay] = self._add(chunks.take(pa.array(stay)), flat, sizes)
+            for i in range(0, len(new), PART):
+                part = new[i : i + PART]
+                place[fresh[i : i + PART]] = self._add(part, *self.encode_new(part.to_pylist()))
         return place
 
     def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +89,13 @@ class Words:
         sizes = self.start[place + 1] - self.start[place]
         return self._gather(place, sizes), sizes
 
-    def _add(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        n, at = len(self.at), int(self.start[len(self.at)])
+    def _add(self, chunks: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n, at = len(self.chunks), int(self.start[len(self.chunks)])
         self.start = _room(self.start, n + len(chunks) + 1)
         self.flat = _room(self.flat, at + len(flat))
         self.start[n + 1 : n + len(chunks) + 1] = at + np.cumsum(sizes)
         self.flat[at : at + len(flat)] = flat
-        self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.chunks = pa.concat_arrays([self.chunks, chunks])
         self.used += _size(chunks) + 4 * len(flat)
         return np.arange(n, n + len(chunks))
 
@@ -100,8 +104,9 @@ class Words:
         return self.flat[np.repeat(self.start[place] - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _size(chunks: list[str]) -> int:
-    return sum(map(len, chunks)) + 200 * len(chunks)
+def _size(chunks: pa.Array) -> int:
+    """With what finds them: an offset, a place and an entry of the table that index_in() makes for each."""
+    return chunks.nbytes + 40 * len(chunks)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +159,7 @@ class Bpe:
             else:
                 split.append(self.pieces(c))
         seen = list({p for s in split for p in s if isinstance(p, str)})
-        flat, sizes = self.known.of(self.known.places(seen))
+        flat, sizes = self.known.of(self.known.places(pa.array(seen, pa.string())))
         ids, at = flat.tolist(), np.cumsum(sizes).tolist()
         merged: dict = {p: ids[j - n : j] for p, j, n in zip(seen, at, sizes.tolist(), strict=True)}
         merged |= {i: [i] for i in self.added.values()}
@@ -239,7 +244,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(public_tokenizers.path(vocabulary))
-        for b in rows_of(batches):
+        for b in rows_of(lean(batches), PIECE_BYTES):
             flat, sizes = bpe.words.ids(b["text"])
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.record_batch([b["doc_id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32)))], ["doc_id", "ids"])
@@ -252,7 +257,7 @@ def decoded(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(public_tokenizers.path(vocabulary))
-        for b in rows_of(batches):
+        for b in rows_of(lean(batches), PIECE_BYTES):
             yield pa.record_batch([b["doc_id"], pa.array([bpe.decode(x or ()) for x in b["ids"].to_pylist()], pa.string())], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -265,7 +270,7 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         bpe = load(public_tokenizers.path(vocabulary))
         decimal = {i: str(i) for i in bpe.tokens}
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in rows_of(batches):
+        for b in rows_of(lean(batches), PIECE_BYTES):
             n, ids, back = [], [], []
             for x in bpe.encode_batch(b["text"]):
                 n.append(len(x))

@@ -99,12 +99,24 @@ def only(cache: dict) -> dict:
             if c is not cache:
                 c.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     return cache
 
 
+def give_back() -> None:
+    """Gives memory that nothing uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches. What is free after each goes back to the system: Arrow and malloc would keep it, in idle workers too."""
+    for b in batches:
+        yield b
+        give_back()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Unless the session says otherwise, rows reach Python by the thousand: texts may be long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only, rows_of, small_batches, worker_cache
+from tickloom.llm.common import lean, only, rows_of, small_batches, worker_cache
 
 UNKNOWN = "und"
 STRETCH = 512
@@ -280,7 +280,7 @@ def identified(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
         if key not in only(_built):
             _built.clear()
             _built[key] = build(spread.value)
-        for b in rows_of(batches):
+        for b in rows_of(lean(batches)):
             lang, _, bits = parse(_built[key], b.column(at).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN and y <= most_bits for x, y in zip(lang, bits, strict=True)]))
 

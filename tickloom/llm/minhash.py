@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, forget, only, rows_of, texts, worker_cache
+from tickloom.llm.common import cut, forget, lean, only, rows_of, texts, worker_cache
 
 BANDS, ROWS = 40, 5
 STEP = 0x9E3779B1
@@ -98,7 +98,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_words)
-        for b in rows_of(batches, 1 << 20):
+        for b in rows_of(lean(batches), 1 << 20):
             sets = [shingles(t, k) for t in b["text"].to_pylist()]
             cls = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
             first = {c: i for i, c in reversed(list(enumerate(cls))) if c is not None}
@@ -141,7 +141,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, most: int = BLOOM) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_words)
-        for b in rows_of(batches):
+        for b in rows_of(lean(batches)):
             b = b.filter(b["doc_id"].is_valid())
             if spread:
                 have = np.frombuffer(spread.value, np.uint8)
